@@ -97,23 +97,24 @@ def losses(z: np.ndarray, model: Model) -> np.ndarray:
 def fit(texts: list[str], langs: list[str]) -> Model:
     languages = sorted(set(langs))
     codes = codewords(len(languages))
-    flat, at = utf8(pa.array(texts, pa.string()))
-    two, three = gram_indices(flat, at)
-    of = np.repeat(np.searchsorted(languages, langs), np.diff(at)) if len(languages) else np.zeros(0, np.int64)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(np.searchsorted(languages, langs) if langs else [], pa.int64())], names=["text", "of"])
     share = np.zeros((len(languages), 2 * GRAMS))
-    for k in range(len(languages)):
-        for index in (two[of == k], three[of == k]):
-            share[k] += np.bincount(index[index < VOID], minlength=2 * GRAMS)
-        share[k] /= max(1, share[k].sum())
+    for part in blocks(iter([rows])):
+        flat, at = utf8(part.column("text"))
+        of = np.repeat(part.column("of").to_numpy(), np.diff(at))
+        for index in gram_indices(flat, at):
+            for k in np.unique(of):
+                share[k] += np.bincount(index[(of == k) & (index < VOID)], minlength=2 * GRAMS)
+    share /= np.maximum(1, share.sum(1, keepdims=True))
     share += 1e-6
     weights = np.zeros((VOID + 1, codes.shape[1]), np.float32)
     for b in range(codes.shape[1] if len(languages) > 1 else 0):
         weights[:VOID, b] = np.log(share[codes[:, b] > 0].mean(0)) - np.log(share[codes[:, b] < 0].mean(0))
     model = Model(languages, codes, weights, np.ones(codes.shape[1]), np.ones(codes.shape[1]))
     if len(languages) > 1:
-        z = margins(flat, at, weights, model.scales)
+        z = np.concatenate([margins(*utf8(part.column("text")), weights, model.scales) for part in blocks(iter([rows]))])
         model.scales = 4 / np.maximum(np.abs(z).mean(0), 1e-9)
-        true = codes[np.searchsorted(languages, langs)]
+        true = codes[rows.column("of").to_numpy()]
         model.trust = np.maximum((z * true > 0).mean(0) - 0.5, 0.01)
         model.trust /= model.trust.mean()
     return model
