@@ -26,8 +26,9 @@ from .common import blocks, cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-#: Rows of one length are ranked in groups of about this many, so that a very common length isn't one task.
-RANK_GROUP = 50_000
+#: All pieces are dealt into groups of about this many, 4096 groups at most, and ranked within length and group, so that a very
+#: common length isn't one task.
+RANK_GROUP = 2_000
 
 
 def fit_below(present: list[int], most: int) -> int:
@@ -201,7 +202,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces(); reads them twice, so they should come from a written table."""
     by_length = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots, _ = plan(by_length, capacity)
-    groups = max(1, sum(by_length.values()) // RANK_GROUP)
+    groups = min(4096, max(1, sum(by_length.values()) // RANK_GROUP))
     dealt = cut_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     before = (
