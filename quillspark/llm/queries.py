@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality, simhash, token_counts
+from . import decontamination, language_id, packing, quality, simhash, suffix_dedup, token_counts
 from .common import table
 
 
@@ -35,7 +35,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality)}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality, op7_suffix_dedup)}
 
 #: Queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
