@@ -5,9 +5,10 @@ Every byte that a string of `length` bytes covers goes if that string also start
 1. Documents are dealt into units by a hash of the id. Each window of `length` bytes has a minimizer: the least hash of the
    32-byte strings in it. Equal windows have equal minimizers, so a window can only repeat if its minimizer occurs in
    two documents; units send the different minimizers they have, and learn which those are.
-2. Windows in a row with one such minimizer make one string. Each unit sends its different strings, with the least id of
-   a document that holds them, to a shard given by the minimizer. So equal windows meet in one shard, whatever unit
-   or place they come from, and a passage in many documents is one string per unit.
+2. Such windows are dealt out by a second minimizer, over 16-byte strings, which changes less often along a text: windows
+   in a row that share it make one string. Each unit sends its different strings, with the least id of a document that
+   holds them, to a shard given by that minimizer. So equal windows meet in one shard, whatever unit or place they come
+   from, and a passage in many documents is one string per unit.
 3. A shard sorts the suffixes of its strings (see suffix_sort), finds neighbours with common prefixes of `length` bytes, and
    tells for every window the least id of a document that has it. Units remove what others have first.
 
@@ -29,30 +30,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, cut, mix, utf8
+from .common import blocks, mix, utf8
 from .suffix_sort import repeats, suffix_array
 
-LENGTH, GRAM = 50, 32
+LENGTH, GRAM, SHORT = 50, 32, 16
 #: Bytes of text in a unit; minimizers in a bucket (about a tenth of the bytes are minimizers).
 UNIT_BYTES, BUCKET_SIZE = 12 << 20, 1 << 20
 WHOLE = (1 << 63) - 1
 
 
-def window_minimizers(flat: np.ndarray, length: int) -> np.ndarray:
-    """The least hash of the 32-byte strings in each window of `length` bytes, by the window's first byte."""
-    n = len(flat) - GRAM + 1
+def sliding_least(low: np.ndarray, span: int) -> np.ndarray:
+    width = 1
+    while width * 2 <= span:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    return np.minimum(low[: len(low) - span + width], low[span - width :]) if span > width else low
+
+
+def window_minimizers(flat: np.ndarray, length: int, short: bool = False) -> np.ndarray:
+    """The least hash of the 32-byte (short: 16-byte) strings in each window of `length` bytes, by the window's first byte."""
     padded = np.concatenate([flat, np.zeros(8, np.uint8)])
     words = np.ndarray(shape=(len(flat),), dtype="<u8", buffer=padded, strides=(1,))
     h = words * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    two = h[: n + 16] * np.uint64(0x94D049BB133111EB) + (h[8 : n + 24] ^ (h[8 : n + 24] >> np.uint64(31)))
-    low = mix(two[:n] * np.uint64(0xD6E8FEB86659FD93) + two[16 : n + 16])
-    span, width = length - GRAM + 1, 1
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    return np.minimum(low[: len(low) - span + width], low[span - width :]) if span > width else low
+    n = len(flat) - SHORT + 1
+    two = h[:n] * np.uint64(0x94D049BB133111EB) + (h[8 : n + 8] ^ (h[8 : n + 8] >> np.uint64(31)))
+    if short:
+        return sliding_least(mix(two), length - SHORT + 1)
+    n = len(flat) - GRAM + 1
+    return sliding_least(mix(two[:n] * np.uint64(0xD6E8FEB86659FD93) + two[16 : n + 16]), length - GRAM + 1)
 
 
 def minimizer_runs(column: pa.Array, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,56 +111,80 @@ class Plan:
         # 32 bits of a minimizer beside its bucket tell about BUCKET_SIZE of them apart well enough; past 2**16 buckets, 48 bits
         self.wide = total_bytes // (10 * BUCKET_SIZE) >> 16 > 0
         self.bits = self.bucket_bits + (48 if self.wide else 32)
-        self.shards = 2 * self.units
+        self.shards = 4 * self.units
 
     def shard(self, value: np.ndarray) -> np.ndarray:
         return (mix(value + np.uint64(0x632BE59BD9B4E019)) % np.uint64(self.shards)).astype(np.int64)
 
 
 class Unit:
-    """One unit's documents in order of their ids, with their minimizers."""
+    """One unit's documents in order of their ids (and texts, so that each step finds the same order), with their minimizers."""
 
     def __init__(self, rows: pa.Table, plan: Plan):
-        ids = pc.fill_null(rows.column("doc_id").combine_chunks(), WHOLE)
-        rows = rows.take(pc.sort_indices(ids))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))  # nulls are last
         self.rows, self.plan = rows, plan
-        self.ids = ids.to_numpy()[np.argsort(ids.to_numpy(), kind="stable")]
+        self.ids = pc.fill_null(rows.column("doc_id").combine_chunks(), WHOLE).to_numpy()
         column = rows.column("text").combine_chunks().cast(pa.large_string()).fill_null("")
         self.flat, self.at, self.value, self.doc, self.start, self.count = minimizer_runs(column, plan.length, plan.bits)
         self.distinct, self.shared, self.place = distinct_minimizers(self.value, self.ids[self.doc] if len(self.doc) else self.doc)
 
     def strings(self, repeated: np.ndarray) -> None:
         """repeated: for each of the distinct minimizers, whether two documents of any unit have it. Sets `texts`, the different
-        strings by shard and then by first place, their shards, their least ids and windows; `runs` and `of`: the runs and
-        their strings."""
-        self.runs = np.flatnonzero(repeated[self.place]) if len(self.place) else self.place
+        strings by shard and then by first place, their shards, their least ids and windows; of the places where they stand:
+        `begin`, `n` windows, `at_doc`, and `of`, the string."""
+        value, doc, begin, n = self.shard_runs(np.flatnonzero(repeated[self.place]) if len(self.place) else self.place)
         data, table = self.flat.tobytes(), {}
-        begin = self.start[self.runs]
-        end = begin + self.count[self.runs] + self.plan.length - 1
+        end = begin + n + self.plan.length - 1
         of = np.fromiter((table.setdefault(data[a:b], len(table)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
-        first = np.full(len(table), len(of))
-        np.minimum.at(first, of, np.arange(len(of)))
-        own = self.runs[first]
-        shard = self.plan.shard(self.value[own])
+        fresh = np.concatenate(([True], of[1:] > np.maximum.accumulate(of)[:-1])) if len(of) else np.zeros(0, bool)
+        own = np.flatnonzero(fresh)
+        shard = self.plan.shard(value[own])
         order = np.argsort(shard, kind="stable")
         texts = list(table)
         self.texts, self.shard = [texts[i] for i in order.tolist()], shard[order]
-        self.least, self.windows = self.ids[self.doc[own]][order], self.count[own][order]
+        self.least, self.windows = self.ids[doc[own]][order], n[own][order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.of = rank[of]
-
-    def removed(self, owner: np.ndarray) -> np.ndarray:
-        """owner: the least id that has a window, for all windows of all strings in order. Marks the bytes that go."""
+        self.begin, self.n, self.at_doc, self.of = begin, n, doc, rank[of]
+
+    def shard_runs(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows in the given runs, joined where they touch: runs of windows with one short minimizer. Their minimizers,
+        documents, first bytes and numbers of windows."""
+        begin, n, doc = self.start[runs], self.count[runs], self.doc[runs]
+        apart = np.concatenate(([True], (begin[1:] != begin[:-1] + n[:-1]) | (doc[1:] != doc[:-1]))) if len(runs) else np.zeros(0, bool)
+        first = np.flatnonzero(apart)
+        total = np.add.reduceat(n, first) if len(first) else first
+        begin, doc = begin[first], doc[first]
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        size = total + self.plan.length - 1
+        k = 0
+        while k < len(begin):  # some stretches at a time, side by side
+            stop = max(k + 1, int(np.searchsorted(np.cumsum(size[k:]), 1 << 19)) + k)
+            own, at = size[k:stop], np.concatenate(([0], np.cumsum(size[k:stop])))
+            place = np.arange(at[-1]) + np.repeat(begin[k:stop] - at[:-1], own)
+            low = window_minimizers(self.flat[place], self.plan.length, short=True)
+            stretch = np.repeat(np.arange(stop - k), own)[: len(low)]
+            where = np.flatnonzero(np.arange(len(low)) + self.plan.length <= at[1:][stretch])
+            low, stretch = low[where], stretch[where]
+            head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (stretch[1:] != stretch[:-1]))))
+            for x, y in zip(out, (low[head], doc[k:stop][stretch[head]], place[where[head]], np.diff(np.append(head, len(low)))), strict=True):
+                x.append(y)
+            k = stop
+        return tuple(np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, (np.uint64, np.int64, np.int64, np.int64), strict=True))
+
+    def removed(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """owner: the least id that has a window, for all windows of all strings in order. The maximal runs of bytes that go, in
+        order: document, begin, end."""
         first = np.concatenate(([0], np.cumsum(self.windows)))
-        n = self.count[self.runs]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        hit = owner[np.repeat(first[self.of], n) + inside] < np.repeat(self.ids[self.doc[self.runs]], n)
-        start = (np.repeat(self.start[self.runs], n) + inside)[hit]
-        edge = np.zeros(len(self.flat) + 1, np.int32)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + self.plan.length, -1)
-        return np.cumsum(edge[:-1]) > 0
+        inside = np.arange(int(self.n.sum())) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        doc = np.repeat(self.at_doc, self.n)
+        hit = np.flatnonzero(owner[np.repeat(first[self.of], self.n) + inside] < self.ids[doc])
+        start, doc = (np.repeat(self.begin, self.n) + inside)[hit], doc[hit]
+        if not len(start):
+            return doc, start, start
+        cut_at = np.flatnonzero((start[1:] > start[:-1] + self.plan.length) | (doc[1:] != doc[:-1]))
+        head, tail = np.concatenate(([0], cut_at + 1)), np.append(cut_at, len(start) - 1)
+        return doc[head], start[head], start[tail] + self.plan.length
 
 
 def grouped(table: pa.Table) -> dict[str, np.ndarray | list]:
@@ -279,38 +310,48 @@ def owners_of(rows: pa.Table) -> np.ndarray:
     return np.concatenate([np.repeat(np.frombuffer(data, "<i8"), np.frombuffer(lens, "<i4")) for _, lens, data in parts]) if parts else np.zeros(0, np.int64)
 
 
-def digest_rows(unit: Unit, gone: np.ndarray) -> pa.Table:
-    at = unit.at
-    edge = np.concatenate([gone, [False]]).astype(np.int8)
-    begins = gone.copy()
-    begins[1:] &= ~gone[:-1]
-    inner = at[(at > 0) & (at < len(gone))]
-    begins[inner] = gone[inner]
-    sums, spans = np.concatenate(([0], np.cumsum(edge[:-1], dtype=np.int64))), np.concatenate(([0], np.cumsum(begins, dtype=np.int64)))
-    removed = sums[at[1:]] - sums[at[:-1]]
-    digests = [hashlib.sha256(unit.flat[a:b][~gone[a:b]] if r else unit.flat[a:b]).hexdigest() for a, b, r in zip(at.tolist(), at[1:].tolist(), removed.tolist(), strict=False)]
-    return pa.table([unit.rows.column("doc_id"), pa.array(np.diff(at)), pa.array(removed), pa.array(spans[at[1:]] - spans[at[:-1]]), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def kept(unit: Unit, spans: Spans) -> list[bytes]:
+    """What is left of each text's bytes."""
+    data, at = unit.flat.tobytes(), unit.at.tolist()
+    out = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+    edge = np.searchsorted(spans[0], np.arange(len(out) + 1))
+    begins, ends = spans[1].tolist(), spans[2].tolist()
+    for i in np.flatnonzero(np.diff(edge)).tolist():
+        left = [at[i], *ends[edge[i] : edge[i + 1]]]
+        out[i] = b"".join(data[a:b] for a, b in zip(left, [*begins[edge[i] : edge[i + 1]], at[i + 1]], strict=True))
+    return out
+
+
+def digest_rows(unit: Unit, spans: Spans) -> pa.Table:
+    n = len(unit.at) - 1
+    texts = kept(unit, spans)
+    size = np.diff(unit.at)
+    removed = size - np.fromiter(map(len, texts), np.int64, n)
+    return pa.table([unit.rows.column("doc_id"), pa.array(size), pa.array(removed), pa.array(np.bincount(spans[0], minlength=n).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def kept_rows(columns: list[str]) -> Callable[[Unit, np.ndarray], pa.Table]:
+def kept_rows(columns: list[str]) -> Callable[[Unit, Spans], pa.Table]:
     """The unit's rows with what is left of their texts; characters that lost some of their bytes go whole."""
 
-    def run(unit: Unit, gone: np.ndarray) -> pa.Table:
-        at, null = unit.at.tolist(), unit.rows.column("text").is_null().to_pylist()
-        texts = [None if no else unit.flat[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b, no in zip(at, at[1:], null, strict=False)]
-        kept = {"text": pa.array(texts, pa.string())}
+    def run(unit: Unit, spans: Spans) -> pa.Table:
+        null = unit.rows.column("text").is_null().to_pylist()
+        texts = [None if no else t.decode("utf-8", "ignore") for t, no in zip(kept(unit, spans), null, strict=True)]
+        new = {"text": pa.array(texts, pa.string())}
         if "n_chars" in columns:
-            kept["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-        return pa.table([kept.get(c, unit.rows.column(c)) for c in columns], names=columns)
+            new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        return pa.table([new.get(c, unit.rows.column(c)) for c in columns], names=columns)
 
     return run
 
 
-def dedupe(docs: DataFrame, finish: Callable[[Unit, np.ndarray], pa.Table], schema: str | T.StructType, length: int = LENGTH) -> DataFrame:
-    """docs: doc_id long, text string and any more columns. finish(unit, marks of the bytes that go) gives a unit's result."""
+def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: str | T.StructType, length: int = LENGTH) -> DataFrame:
+    """docs: doc_id long, text string and any more columns. finish(unit, runs of bytes that go) gives a unit's result."""
     if length < GRAM:
         raise ValueError(f"strings of fewer than {GRAM} bytes have no minimizer")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -318,7 +359,7 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, np.ndarray], pa.Table], sche
     unit = F.pmod(F.xxhash64(F.lit("unit"), F.coalesce("doc_id", F.lit(WHOLE))), F.lit(plan.units))
     dealt = docs.withColumn("unit", unit).repartition(plan.units, "unit")
     sent = dealt.groupBy("unit").applyInArrow(send_minimizers(plan), "bucket long, unit long, data binary, shared binary")
-    marks = cut(sent.groupBy("bucket").applyInArrow(mark_repeated(plan), MESSAGE))
+    marks = sent.groupBy("bucket").applyInArrow(mark_repeated(plan), MESSAGE)
     strings = dealt.groupBy("unit").cogroup(marks.groupBy("unit")).applyInArrow(send_strings(plan), "shard long, unit long, data binary, lens binary, least binary")
     owners = strings.groupBy("shard").applyInArrow(sort_shard(plan), MESSAGE)
 
