@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality, simhash, suffix_dedup, token_counts, warc
+from . import decontamination, embedding_dedup, language_id, packing, quality, simhash, suffix_dedup, token_counts, warc
 from .common import table
 
 
@@ -43,7 +43,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "file")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality, op7_suffix_dedup, op8_warc)}
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality, op7_suffix_dedup, op8_warc, op9_embedding_dedup)}
 
 #: Queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}
