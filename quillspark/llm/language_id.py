@@ -135,30 +135,44 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def decide(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: the language's index (that after the last for `und`), whether it has one, score, ambiguous."""
+    texts = column.fill_null("")
+    flat, at = utf8(texts)
+    n, k = len(at) - 1, len(model.languages)
+    if not k:
+        return np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n), np.zeros(n, bool)
+    loss = losses(margins(flat, at, model.weights, model.scales), model)
+    spoken = has_letter(flat, at, texts)
+    odds = np.exp(loss.min(1, keepdims=True) - loss)
+    two = np.partition(loss, 1, axis=1) if k > 1 else np.zeros((n, 0))
+    unsure = spoken & (two[:, 1] - two[:, 0] < AMBIGUOUS) if k > 1 else np.zeros(n, bool)
+    return np.where(spoken, loss.argmin(1), k), spoken, np.where(spoken, odds.max(1) / odds.sum(1), 0), unsure
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out (crc32 of the id modulo 3 is 1), lang_pred, score, ambiguous; only the text decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], object)
         for part in blocks(batches):
-            texts = part.column("text").fill_null("")
-            flat, at = utf8(texts)
-            n = len(at) - 1
-            best, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
-            if model.languages:
-                loss = losses(margins(flat, at, model.weights, model.scales), model)
-                spoken = has_letter(flat, at, texts)
-                best = np.where(spoken, loss.argmin(1), best)
-                odds = np.exp(loss.min(1, keepdims=True) - loss)
-                score = np.where(spoken, odds.max(1) / odds.sum(1), 0)
-                if len(model.languages) > 1:
-                    two = np.partition(loss, 1, axis=1)[:, :2]
-                    unsure = spoken & (two[:, 1] - two[:, 0] < AMBIGUOUS)
+            best, _, score, unsure = decide(part.column("text"), model)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return rows.withColumn("held_out", crc_mod("doc_id", 3) == 1).mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language: not `und`, and not ambiguous with a score under `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, text):
+            _, known, score, unsure = decide(part.column(text), model)
+            yield part.filter(pa.array(known & ~(unsure & (score < least))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, learn(docs))

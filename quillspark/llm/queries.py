@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, embedding_dedup, language_id, packing, quality, simhash, suffix_dedup, token_counts, warc
+from . import chat, decontamination, embedding_dedup, language_id, packing, quality, simhash, suffix_dedup, token_counts, warc
 from .common import table
 
 
@@ -47,7 +47,11 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality, op7_suffix_dedup, op8_warc, op9_embedding_dedup)}
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality, op7_suffix_dedup, op8_warc, op9_embedding_dedup, op10_chat_perspectives)}
 
 #: Queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat_perspectives": chat.SQL}

@@ -357,10 +357,10 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: s
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     plan = Plan(total, length)
     unit = F.pmod(F.xxhash64(F.lit("unit"), F.coalesce("doc_id", F.lit(WHOLE))), F.lit(plan.units))
-    dealt = docs.withColumn("unit", unit).repartition(plan.units, "unit")
-    sent = dealt.groupBy("unit").applyInArrow(send_minimizers(plan), "bucket long, unit long, data binary, shared binary")
+    dealt = docs.withColumn("__unit", unit).repartition(plan.units, "__unit")
+    sent = dealt.groupBy("__unit").applyInArrow(send_minimizers(plan), "bucket long, unit long, data binary, shared binary")
     marks = sent.groupBy("bucket").applyInArrow(mark_repeated(plan), MESSAGE)
-    strings = dealt.groupBy("unit").cogroup(marks.groupBy("unit")).applyInArrow(send_strings(plan), "shard long, unit long, data binary, lens binary, least binary")
+    strings = dealt.groupBy("__unit").cogroup(marks.groupBy("unit")).applyInArrow(send_strings(plan), "shard long, unit long, data binary, lens binary, least binary")
     owners = strings.groupBy("shard").applyInArrow(sort_shard(plan), MESSAGE)
 
     def remove(key: tuple, rows: pa.Table, messages: pa.Table) -> pa.Table:
@@ -368,7 +368,7 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: s
         own.strings(marks_of(messages))
         return finish(own, own.removed(owners_of(messages)))
 
-    return dealt.groupBy("unit").cogroup(marks.unionByName(owners).groupBy("unit")).applyInArrow(remove, schema)
+    return dealt.groupBy("__unit").cogroup(marks.unionByName(owners).groupBy("unit")).applyInArrow(remove, schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,5 +377,5 @@ def digests(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (doc_id, text and any more columns but `unit`) with repeated strings cut from their texts."""
+    """docs (doc_id, text and any more columns) with repeated strings cut from their texts."""
     return dedupe(docs, kept_rows(docs.columns), docs.schema, length)
