@@ -35,7 +35,7 @@ from .suffix_sort import repeats, suffix_array
 
 LENGTH, GRAM, SHORT = 50, 32, 16
 #: Bytes of text in a unit; minimizers in a bucket (about a tenth of the bytes are minimizers).
-UNIT_BYTES, BUCKET_SIZE = 12 << 20, 1 << 20
+UNIT_BYTES, BUCKET_SIZE = 6 << 20, 1 << 20
 WHOLE = (1 << 63) - 1
 
 
