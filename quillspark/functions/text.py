@@ -341,7 +341,7 @@ def flat_line(speaker: Col, at: Col, text: Col) -> Column:
 def human_bytes(size: Col) -> Column:
     size, out = col(size).cast("double"), None
     for power, unit in enumerate(("B", "KiB", "MiB", "GiB", "TiB")):
-        said = F.format_string("%d B", size.cast("long")) if not power else F.format_string(f"%.2f {unit}", size / 1024.0**power)
+        said = F.format_string("%d B", size.cast("long")) if not power else F.format_string(f"%.2f {unit}", F.bround(size / 1024.0**power, 2))
         if unit == "TiB":
             return out.otherwise(said)
         test = F.abs(size) < 1024.0 ** (power + 1)

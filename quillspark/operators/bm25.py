@@ -63,7 +63,7 @@ def score_texts(docs: DataFrame, query: str, id: str = "doc_id", text: str = "te
     shuffled but the statistics' single row. For many queries over one corpus, build postings."""
     terms = query_terms(query, stopwords)
     rows = docs.select(F.col(id).alias("doc_id"), *keep, X.tokens(text, stopwords).alias("tokens"))
-    own = rows.select("doc_id", *keep, F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(terms)])
+    own = rows.select("doc_id", *keep, F.size("tokens").alias("dl"), *[occurrences("tokens", w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = own.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     total: Column = F.lit(0.0)
     for i in range(len(terms)):
@@ -72,6 +72,10 @@ def score_texts(docs: DataFrame, query: str, id: str = "doc_id", text: str = "te
     return own.join(F.broadcast(stats)).select("doc_id", *keep, total.alias("score"))
 
 
+def occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == term))
+
+
 def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     """The k best positive scores, ties by the given columns."""
     return scores.where("score > 0").orderBy(F.desc("score"), *(ties or ("doc_id",))).limit(max(0, k))

@@ -33,9 +33,9 @@ def pair_counts(rows: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFr
     """key, n, concordant, discordant, x_ties, y_ties over all pairs of a key's rows. Equal (x, y) rows are first counted, so the join is one
     of distinct values; pairs within such a class are ties in both."""
     each = rows.groupBy(key, x, y).agg(F.count("*").alias("c")).select(key, F.struct(x, y).alias("v"), "c")
-    other = each.select(F.col(key).alias("k"), F.col("v").alias("w"), F.col("c").alias("d"))
+    other = each.select(F.col(key).alias("_k"), F.col("v").alias("w"), F.col("c").alias("d"))
     dx, dy = F.signum(F.col(f"w.{x}") - F.col(f"v.{x}")), F.signum(F.col(f"w.{y}") - F.col(f"v.{y}"))
-    cross = each.join(other, (F.col(key) == F.col("k")) & (F.col("v") < F.col("w"))).select(key, (F.col("c") * F.col("d")).alias("n"), dx.alias("dx"), dy.alias("dy"))
+    cross = each.join(other, (F.col(key) == F.col("_k")) & (F.col("v") < F.col("w"))).select(key, (F.col("c") * F.col("d")).alias("n"), dx.alias("dx"), dy.alias("dy"))
     sums = cross.groupBy(key).agg(*[F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name) for name, test in (("concordant", F.col("dx") * F.col("dy") > 0), ("discordant", F.col("dx") * F.col("dy") < 0), ("xt", (F.col("dx") == 0)), ("yt", (F.col("dy") == 0)))])
     own = each.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("both"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
