@@ -64,7 +64,9 @@ def score_texts(docs: DataFrame, query: str, id: str = "doc_id", text: str = "te
     terms = query_terms(query, stopwords)
     rows = docs.select(F.col(id).alias("doc_id"), *keep, X.tokens(text, stopwords).alias("tokens"))
     own = rows.select("doc_id", *keep, F.size("tokens").alias("dl"), *[occurrences("tokens", w).alias(f"tf{i}") for i, w in enumerate(terms)])
-    stats = own.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
+    # a filter on dl would be pushed below and tokenize once more
+    some = F.when(F.col("dl") > 0, F.col("dl"))
+    stats = own.agg(F.count(some).alias("n"), F.coalesce(F.avg(some), F.lit(0.0)).alias("avg"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
     total: Column = F.lit(0.0)
     for i in range(len(terms)):
         part = idf(F.col("n"), F.col(f"df{i}")) * weight(F.col(f"tf{i}"), F.col("dl"), F.col("avg"), k1, b)
