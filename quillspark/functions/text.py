@@ -207,7 +207,7 @@ def resource_parts(path: Col, root: str = "resource") -> Column:
 def note_name(raw: Col, fallback: Col) -> Column:
     """A safe file name made from a title; from the fallback where nothing is left; from a hash where that is reserved."""
     unsafe = r'[<>:"/\\|?*\x00-\x1f]+'
-    clean = lambda x: F.trim(F.lit(" ."), F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(col(x), F.lit(""))), unsafe, "-"), r"\s+", " "))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(col(x), F.lit(""))), unsafe, "-"), r"\s+", " "), F.lit(" ."))
     name = F.when(clean(raw) != "", clean(raw)).otherwise(clean(fallback))
     hashed = F.concat(F.lit("resource-"), short_hash(F.coalesce(F.nullif(col(fallback), F.lit("")), F.nullif(col(raw), F.lit("")), F.lit("note"))))
     return F.when(name_error(name).isNull(), name).otherwise(hashed)

@@ -203,9 +203,9 @@ def by_json(text: str, most: int = 2000) -> list[Piece]:
         return []
     try:
         json.loads(text)
-    except ValueError:
+        _, leaves, _ = JsonReader(text, max(64, int(most * 0.05))).read(0, ())
+    except (ValueError, RecursionError):
         return loose_lines(text, most)
-    _, leaves, _ = JsonReader(text, max(64, int(most * 0.05))).read(0, ())
     out, own, size = [], [], 0
 
     def flush() -> None:

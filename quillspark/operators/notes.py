@@ -124,7 +124,7 @@ def validated_links(notes: DataFrame, files: DataFrame, path: str = "path", text
     stem = F.replace(F.regexp_replace(F.substring_index(target, "/", -1), r"\.[^.]*$", ""), F.lit("_"), F.lit(" "))
     fine = target.endswith(".md") & ~target.startswith("/") & ~target.contains("\\") & ~target.rlike(r"(^|/)\.\.?(/|$)")
     known = files.select(F.col("path").alias("target"), F.lit(True).alias("there")).distinct()
-    said = F.when(F.col("there") & F.col("fine") & (F.col("target") != F.col(path)), F.concat(F.lit("[["), "inner", F.lit("]]"))).otherwise("plain")
+    said = F.when(F.col("there") & F.col("fine") & (F.col("target") != F.col(path)), F.concat(F.lit("[["), "inner", F.lit("]]"))).otherwise(F.col("plain"))
     each = each.select(path, "i", "inner", target.alias("target"), F.when(alias != "", alias).otherwise(stem).alias("plain"), fine.alias("fine")).join(known, "target", "left").withColumn("said", F.coalesce(said, F.col("plain")))
     again = each.groupBy(path).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "said"))), lambda x: x["said"]).alias("said"))
     whole = F.concat(F.get("pieces", F.lit(0)), F.array_join(F.zip_with("said", F.slice("pieces", 2, F.greatest(F.size("pieces") - 1, F.lit(0))), lambda a, b: F.concat(a, b)), ""))
