@@ -83,13 +83,18 @@ def supervised(start: Callable[[], StreamingQuery], tries: int | None = None, fi
 
 def once(events: DataFrame, *key: str, at: str | None = None, late: str = "1 day") -> DataFrame:
     """Rows of a stream or table, each key once; with a time column only for as long as rows may be late."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(key)) if at else events.dropDuplicates(list(key))
+    return timed(events, at).withWatermark(at, late).dropDuplicatesWithinWatermark(list(key)) if at else events.dropDuplicates(list(key))
+
+
+def timed(events: DataFrame, at: str) -> DataFrame:
+    """Event times as time-zone timestamps, which watermarks need."""
+    return events.withColumn(at, F.col(at).cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, at: str, *key: str, width: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """An extension: counts of event-time windows, with late rows admitted for a while."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
-    return events.withWatermark(at, late).groupBy(w.alias("w"), *key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *key, "n")
+    return timed(events, at).withWatermark(at, late).groupBy(w.alias("w"), *key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *key, "n")
 
 
 def rolling_news(rows: DataFrame, at: str = "event_time", width: str = "24 hours", slide: str = "1 hour") -> DataFrame:

@@ -48,7 +48,7 @@ def joined(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def returned_stream(requests: DataFrame, ttl: float = 24 * 3600, by_ranges: bool = True) -> DataFrame:
     """A stream of requests with the results that each returns. A context's state is its list of returned ids or ranges with their times; a
-    context that is quiet for the whole time is forgotten."""
+    context that is quiet for the whole time is forgotten, once the requests' own times show it. Requests may come late by `ttl`, too."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -78,6 +78,8 @@ def returned_stream(requests: DataFrame, ttl: float = 24 * 3600, by_ranges: bool
             if given:
                 yield pd.DataFrame({"context_id": key[0], "request_id": int(request), "place": range(1, len(given) + 1), "id": [r.id for r in given], "path": [r.path for r in given], "start_line": [int(r.start_line) for r in given], "end_line": [int(r.end_line) for r in given]}).astype({"place": "int32", "start_line": "int32", "end_line": "int32"})
         state.update(([list(h) for h in held],))
-        state.setTimeoutDuration(max(1, int(ttl * 1000)))
+        last = max([h[4] for h in held], default=float(rows["ts"].max()))
+        state.setTimeoutTimestamp(max(int((last + ttl) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("context_id").applyInPandasWithState(run, RESULT, "held array<struct<id:string,path:string,low:int,high:int,ts:double>>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", f"{int(ttl) + 1} seconds")
+    return timed.groupBy("context_id").applyInPandasWithState(run, RESULT, "held array<struct<id:string,path:string,low:int,high:int,ts:double>>", "append", GroupStateTimeout.EventTimeTimeout)

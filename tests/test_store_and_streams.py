@@ -88,7 +88,7 @@ def test_writers(spark, tmp_path):
 
 def test_config(tmp_path):
     put(tmp_path, "base.yaml", "a: {x: 1, y: 2}\nn: ${NAME:-none}\n")
-    put(tmp_path, "top.yaml", "extends: base.yaml\na: {y: 3}\nlist: [${HOME_X}]\n")
+    put(tmp_path, "top.yaml", "extends: base.yaml\na: {y: 3}\nlist: ['${HOME_X}']\n")
     got = config.load(str(tmp_path / "top.yaml"), {"a.z": "5", "flag": "true", "word": "text"})
     assert got == {"a": {"x": 1, "y": 3, "z": 5}, "n": "none", "list": ["${HOME_X}"], "flag": True, "word": "text"}
     assert config.expanded({"k": ["${A}"]}, {"A": "b"}) == {"k": ["b"]}
