@@ -522,7 +522,7 @@ def by_default(text: str, path: str = "", size: int = 10_000, overlap: int = 100
 
 KINDS: dict[str, Callable[..., list[Piece]]] = {"default": by_default, "markdown": by_markdown, "json": by_json, "jsonl": by_lines}
 #: Which chunker a file's extension gets, in this order.
-BY_SUFFIX = {".md": "markdown", ".markdown": "markdown", ".json": "json", ".jsonl": "jsonl"}
+BY_SUFFIX = {".md": "markdown", ".json": "json", ".jsonl": "jsonl"}
 CHUNKS = "path string, chunk_index int, start_line int, end_line int, text string"
 
 

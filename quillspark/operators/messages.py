@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Other names of a message's time.
 TIME_NAMES = ("time_created", "timestamp", "createdAt", "timeCreated", "created_time")
+#: Tags of blocks that a client adds to what a user says; characters of a tool's input or result that are kept.
+INJECTED = ("<local-command-caveat>", "<local-command-stdout>", "<local-command-stderr>", "<command-name>", "<command-message>", "<command-args>", "<system-reminder>", "<bash-input>", "<bash-stdout>", "<bash-stderr>")
+EXCERPT = 200
 CONTENT = "array<struct<type:string,text:string,name:string,input:string,source_type:string>>"
 
 
@@ -114,12 +118,12 @@ def pairs(messages: DataFrame, key: str, order: str, role: str = "role", text: s
     return near.select(key, F.row_number().over(w).alias("nth"), F.col(text).alias("user"), F.when(F.col("next_role") == "assistant", F.col("reply")).alias("assistant"))
 
 
-def spoken(messages: DataFrame, tags: tuple[str, ...] = ("<system-reminder>", "<command-name>", "<local-command-stdout>"), role: str = "role", text: str = "text") -> DataFrame:
+def spoken(messages: DataFrame, tags: tuple[str, ...] = INJECTED, role: str = "role", text: str = "text") -> DataFrame:
     """What users and assistants said: no empty texts, and none that is nothing but injected blocks."""
     return messages.where(F.col(role).isin("user", "assistant") & (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0) & ~X.injected_only(text, tags))
 
 
-def rendered_content(content: Column, excerpt: int = 500) -> Column:
+def rendered_content(content: Column, excerpt: int = EXCERPT) -> Column:
     """A message's blocks as text: what was said, tools with their input, results cut short."""
 
     def block(b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import text as X
 
+#: The marks around a day's list of notes, and fields that it doesn't show.
 OPEN, CLOSE = "<!-- notes:auto -->", "<!-- /notes:auto -->"
 HIDDEN = ("schema_version", "session_id", "source_conversation")
 
@@ -33,10 +34,11 @@ def delete_fields(fields: Column, keys: Column) -> Column:
     return F.struct(F.map_filter(fields, lambda k, v: ~F.array_contains(keys, k)).alias("fields"), F.array_intersect(keys, F.map_keys(fields)).alias("deleted"), F.array_except(keys, F.map_keys(fields)).alias("missing"))
 
 
-def written_fields(metadata: Column, name: Column, description: Column, reserved: tuple[str, ...] = ("name", "description", "path", "content")) -> Column:
-    """A note's fields: name and description as given, then the metadata but for reserved keys."""
-    own = F.map_filter(metadata, lambda k, v: ~k.isin(*reserved))
-    return F.map_filter(F.map_concat(F.create_map(F.lit("name"), name, F.lit("description"), description), own), lambda k, v: v.isNotNull())
+def written_fields(metadata: Column, name: Column, description: Column) -> Column:
+    """A note's fields: the metadata without empty values, name and description as given (where they say something)."""
+    own = F.map_filter(metadata, lambda k, v: ~k.isin("name", "description") & v.isNotNull())
+    given = F.map_filter(F.create_map(F.lit("name"), F.trim(name), F.lit("description"), F.trim(description)), lambda k, v: F.length(v) > 0)
+    return F.map_concat(own, given)
 
 
 def edit(notes: DataFrame, old: str, new: str) -> DataFrame:

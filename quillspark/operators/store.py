@@ -24,7 +24,7 @@ TABLES = {"chunks": CHUNKS, "nodes": NODES, "links": LINKS}
 
 def build(files: DataFrame, kind: str | None = None, fields_in_metadata: list[str] | None = None) -> dict[str, DataFrame]:
     """Tables of files (path, st_mtime, text). fields_in_metadata: front-matter fields that chunks carry; an empty list stands for all."""
-    is_note = F.lower("path").rlike(r"\.(md|markdown)$")
+    is_note = F.lower("path").endswith(".md")
     parsed = files.withColumn("parsed", F.when(is_note, A.front_matter(F.when(is_note, F.col("text")).otherwise(F.lit("")))))
     fields = F.coalesce("parsed.fields", F.create_map().cast("map<string,string>"))
     notes = parsed.select("path", "st_mtime", "text", is_note.alias("is_note"), fields.alias("fields"), F.coalesce("parsed.body", "text").alias("body"))
