@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, utf8
+from .common import blocks, lean, mix, utf8
 from .ngrams import lower_latin, runs, slice_hashes
 
 WINDOW, SHARE, LEAST = 13, 0.8, 5
@@ -157,13 +157,13 @@ def one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 doc = part.column("doc_id")
                 yield pa.RecordBatch.from_arrays([doc.take(pa.array([t for t, _ in found])), pa.array([i for _, i in found], pa.int64()), pa.array([m for m, _ in found.values()], pa.int32()), pa.array([n for _, n in found.values()], pa.int32()), pa.array([m / n for m, n in found.values()])], names=["doc_id", "item_id", "n_match", "n_item", "similarity"])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return lean(rows).mapInArrow(run, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that contain no test item."""
     for items in item_slices(benchmark):
-        docs = docs.mapInArrow(keep_clean(docs, items, text), docs.schema)
+        docs = lean(docs).mapInArrow(keep_clean(docs, items, text), docs.schema)
     return docs
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import blocks, cut
+from .common import blocks, cut, lean
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
                     crc.append(zlib.crc32(raw[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, PIECES)
+    return lean(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:

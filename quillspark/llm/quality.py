@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, hashed_share, segment_sums, utf8
+from .common import blocks, crc_mod, hashed_share, lean, segment_sums, utf8
 from .ngrams import no_cross, runs, slice_hashes
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -142,4 +142,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, doc_id: str = "
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.withColumn("held_out", crc_mod("doc_id", 5) == 0).mapInArrow(run, SCHEMA)
+    return lean(rows).withColumn("held_out", crc_mod("doc_id", 5) == 0).mapInArrow(run, SCHEMA)

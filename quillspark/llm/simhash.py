@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, mix, utf8
+from .common import blocks, cut, lean, mix, utf8
 from .components import components, roots
 from .ngrams import runs
 
@@ -82,7 +82,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for part in blocks(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(*utf8(part.column("text"))).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return lean(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def bucket_masks(n: int) -> list[int]:

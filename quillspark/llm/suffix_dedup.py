@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, utf8
+from .common import blocks, lean, mix, utf8
 from .suffix_sort import repeats, suffix_array
 
 LENGTH, GRAM, SHORT = 50, 32, 16
@@ -357,7 +357,8 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: s
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     plan = Plan(total, length)
     unit = F.pmod(F.xxhash64(F.lit("unit"), F.coalesce("doc_id", F.lit(WHOLE))), F.lit(plan.units))
-    dealt = docs.withColumn("__unit", unit).repartition(plan.units, "__unit")
+    # a partition holds one unit, or more of them once there are very many
+    dealt = lean(docs).withColumn("__unit", unit).repartition(min(plan.units, 1 << 16), "__unit")
     sent = dealt.groupBy("__unit").applyInArrow(send_minimizers(plan), "bucket long, unit long, data binary, shared binary")
     marks = sent.groupBy("bucket").applyInArrow(mark_repeated(plan), MESSAGE)
     strings = dealt.groupBy("__unit").cogroup(marks.groupBy("unit")).applyInArrow(send_strings(plan), "shard long, unit long, data binary, lens binary, least binary")

@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import lean, scratch_dir
 
 #: Payload bytes of a shard, compressed bytes of a file, cells of the histogram of ids.
 SHARD_BYTES, FILE_BYTES, CELLS = 24 << 20, 32 << 20, 1 << 14
@@ -174,7 +174,7 @@ def write(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_B
 
     fs, folder = filesystem(out)
     fs.create_dir(folder, recursive=True)
-    dealt = rows.mapInArrow(deal, "page_id long, url string, html string, shard long")
+    dealt = lean(rows).mapInArrow(deal, "page_id long, url string, html string, shard long")
     dealt.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{out}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{out}/_manifest")
 
