@@ -60,9 +60,10 @@ def vector_branch(chunks: DataFrame, query: Sequence[float], k: int, where: Colu
     return bm25.ranked(best, "id")
 
 
-def hybrid(chunks: DataFrame, query: str, query_vector: Sequence[float] | None, limit: int | None = None, min_score: float = 0.0, vector_weight: object = WEIGHT, search_filter: Mapping | None = None, start_date: object = None, end_date: object = None, strict_date_filter: bool = False, seen: DataFrame | None = None, factor: float = FACTOR, stopwords: Sequence[str] | None = None, always_both: bool = False) -> DataFrame:
+def hybrid(chunks: DataFrame, query: str, query_vector: Sequence[float] | None, limit: int | None = None, min_score: float = 0.0, vector_weight: object = WEIGHT, search_filter: Mapping | None = None, start_date: object = None, end_date: object = None, strict_date_filter: bool = False, seen: DataFrame | None = None, factor: float = FACTOR, stopwords: Sequence[str] | None = None, always_both: bool = False, keep: int | None = None) -> DataFrame:
     """rank, id, path, start_line, end_line, text, score, vector, keyword of the best chunks. With a weight of 0 or 1 one branch isn't run, and scores
-    are the other's own; min_score holds for whatever the score is. seen: ids (id) that were returned before."""
+    are the other's own; min_score holds for whatever the score is. seen: ids (id) that were returned before. keep: rows to return if not `limit`, which still
+    sets the number of candidates."""
     query, limit = checked(query, limit)
     w = weight_of(vector_weight)
     where = filters.predicate(filters.normalized(search_filter, start_date, end_date, strict_date_filter))
@@ -80,7 +81,7 @@ def hybrid(chunks: DataFrame, query: str, query_vector: Sequence[float] | None,
         fused = fused.where(F.col("score") >= min_score)
     if seen is not None:
         fused = fused.join(seen.select("id").distinct(), "id", "left_anti")
-    best = fused.orderBy(*fusion.fused_order()).limit(limit)
+    best = fused.orderBy(*fusion.fused_order()).limit(limit if keep is None else keep)
     rank = F.row_number().over(Window.orderBy(*fusion.fused_order()))
     return best.withColumn("rank", rank).select("rank", "id", *COLUMNS, "score", "vector", "keyword")
 
@@ -127,7 +128,7 @@ def passages(chunks: DataFrame, query: str, query_vector: Sequence[float] | None
     """place, path, start_line, end_line, text, score: hybrid search whose results aren't covered by ranges that were returned before (path, start_line,
     end_line), with transcripts' overlapping passages joined. compress: a column function; its result is taken where it is shorter and not empty."""
     query, limit = checked(query, limit)
-    found = hybrid(chunks, query, query_vector, limit if seen_ranges is None else MOST, always_both=query_vector is not None, factor=options.pop("factor", FACTOR if seen_ranges is None else 1.0), **options)  # type: ignore[arg-type]
+    found = hybrid(chunks, query, query_vector, limit, always_both=query_vector is not None, keep=None if seen_ranges is None else 2 * MOST, **options)  # type: ignore[arg-type]
     if seen_ranges is not None:
         found = intervals.uncovered(found, seen_ranges, "path").orderBy("rank").limit(limit)
     talk = is_session("path", session_dir)
