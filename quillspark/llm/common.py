@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,26 @@ def hashed_share(key: str, share: float) -> Column:
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
+def tidy() -> None:
+    """Gives back what a worker's allocators hold for later: workers outlive their tasks, and would keep each one's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    @wraps(f)
+    def run(*args: object) -> object:
+        try:
+            return f(*args)
+        finally:
+            tidy()
+
+    run.__signature__ = signature(f)  # Spark tells functions with a key by their number of parameters
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of the column as one byte array, and the n + 1 places where they begin. Null: empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -84,6 +107,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             end = max(start + 1, int(np.searchsorted(at, at[start] + size, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    tidy()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

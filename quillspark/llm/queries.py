@@ -54,4 +54,4 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_simhash, op4_best_fit_packing, op5_token_counts, op6_quality, op7_suffix_dedup, op8_warc, op9_embedding_dedup, op10_chat_perspectives)}
 
 #: Queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op10_chat_perspectives": chat.SQL}
+ORACLES: dict[str, str] = {"op8_warc": warc.SQL, "op9_embedding_dedup": embedding_dedup.SQL, "op10_chat_perspectives": chat.SQL}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, lean, mix, utf8
+from .common import blocks, lean, mix, tidied, utf8
 from .suffix_sort import repeats, suffix_array
 
 LENGTH, GRAM, SHORT = 50, 32, 16
@@ -359,17 +359,17 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: s
     unit = F.pmod(F.xxhash64(F.lit("unit"), F.coalesce("doc_id", F.lit(WHOLE))), F.lit(plan.units))
     # a partition holds one unit, or more of them once there are very many
     dealt = lean(docs).withColumn("__unit", unit).repartition(min(plan.units, 1 << 16), "__unit")
-    sent = dealt.groupBy("__unit").applyInArrow(send_minimizers(plan), "bucket long, unit long, data binary, shared binary")
-    marks = sent.groupBy("bucket").applyInArrow(mark_repeated(plan), MESSAGE)
-    strings = dealt.groupBy("__unit").cogroup(marks.groupBy("unit")).applyInArrow(send_strings(plan), "shard long, unit long, data binary, lens binary, least binary")
-    owners = strings.groupBy("shard").applyInArrow(sort_shard(plan), MESSAGE)
+    sent = dealt.groupBy("__unit").applyInArrow(tidied(send_minimizers(plan)), "bucket long, unit long, data binary, shared binary")
+    marks = sent.groupBy("bucket").applyInArrow(tidied(mark_repeated(plan)), MESSAGE)
+    strings = dealt.groupBy("__unit").cogroup(marks.groupBy("unit")).applyInArrow(tidied(send_strings(plan)), "shard long, unit long, data binary, lens binary, least binary")
+    owners = strings.groupBy("shard").applyInArrow(tidied(sort_shard(plan)), MESSAGE)
 
     def remove(key: tuple, rows: pa.Table, messages: pa.Table) -> pa.Table:
         own = Unit(rows, plan)
         own.strings(marks_of(messages))
         return finish(own, own.removed(owners_of(messages)))
 
-    return dealt.groupBy("__unit").cogroup(marks.unionByName(owners).groupBy("unit")).applyInArrow(remove, schema)
+    return dealt.groupBy("__unit").cogroup(marks.unionByName(owners).groupBy("unit")).applyInArrow(tidied(remove), schema)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -39,6 +39,16 @@ MANIFEST = "shard long, file string, n_bytes long, n_records long, sha256 string
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string"
 FULL_RECORDS = RECORDS + ", payload binary"
 NONE = -(1 << 63)
+#: What reading back must give, in DuckDB: the digest's base 32 comes from pairs of its hexadecimal digits.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (
+  SELECT page_id, octet_length(encode(h)) AS n, concat(sha1(h), '0') AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p
+), g AS (SELECT *, list_transform(range(41), lambda i: strpos('0123456789abcdef', x[i + 1]) - 1) AS v FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (((v[1 + i * 5 // 4] * 16 + v[2 + i * 5 // 4]) >> (3 - i * 5 % 4)) & 31)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+"""
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
