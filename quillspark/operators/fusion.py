@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 60
 
 
+def reciprocal(vector_weight: float, k: int = K, vector_rank: str = "vector_rank", keyword_rank: str = "keyword_rank") -> Column:
+    """The weighted sum of reciprocal ranks; a list that has no such row adds nothing."""
+    part = lambda w, rank: F.coalesce(F.lit(w) / (F.lit(k) + F.col(rank)), F.lit(0.0))
+    return part(vector_weight, vector_rank) + part(1.0 - vector_weight, keyword_rank)
+
+
 def fuse(vector: DataFrame, keyword: DataFrame, vector_weight: float = 0.7, id: str = "id", k: int = K) -> DataFrame:
     """id, score, vector, keyword, vector_rank, keyword_rank of two bounded lists (id, score, rank): weighted reciprocal ranks."""
     a = vector.select(F.col(id).alias("a"), F.col("score").alias("vector"), F.col("rank").alias("vector_rank"))
     b = keyword.select(F.col(id).alias("b"), F.col("score").alias("keyword"), F.col("rank").alias("keyword_rank"))
-    part = lambda w, rank: F.coalesce(F.lit(w) / (F.lit(k) + F.col(rank)), F.lit(0.0))
     both = a.join(b, F.col("a") == F.col("b"), "full_outer")
-    return both.select(F.coalesce("a", "b").alias(id), (part(vector_weight, "vector_rank") + part(1.0 - vector_weight, "keyword_rank")).alias("score"), "vector", "keyword", "vector_rank", "keyword_rank")
+    return both.select(F.coalesce("a", "b").alias(id), reciprocal(vector_weight, k).alias("score"), "vector", "keyword", "vector_rank", "keyword_rank")
 
 
 def fused_order() -> list:

@@ -43,15 +43,14 @@ def by_path(rows: DataFrame, path: str = "path", rank: str = "rank", low: str =
 def union_passages(rows: DataFrame, *key: str) -> DataFrame:
     """Of passages (start_line, end_line, text, score; text line i is line start_line + i) those that overlap or touch as one: each line
     once, taken from the passage that begins last; score and the rest of the row from the best passage."""
-    grouped = islands(rows, *key).withColumn("lines", X.lines("text"))
-    group = [*key, "island"]
-    size = F.count("*").over(Window.partitionBy(*group))
-    spread = grouped.withColumn("size", size)
-    alone = spread.where("size = 1").select(*rows.columns)
-    many = spread.where("size > 1")
-    line = many.select(*group, "start_line", "end_line", F.posexplode("lines").alias("pos", "line")).withColumn("no", F.col("start_line") + F.col("pos"))
-    last = line.groupBy(*group, "no").agg(F.max_by("line", F.struct("start_line", "end_line")).alias("line"))
-    texts = last.groupBy(*group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("text"))
+    order = F.struct("score", -F.col("start_line"), -F.col("end_line"))
     best = [c for c in rows.columns if c not in (*key, "start_line", "end_line", "text")]
-    heads = many.groupBy(*group).agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), *[F.max_by(c, F.struct("score", -F.col("start_line"), -F.col("end_line"))).alias(c) for c in best])
-    return alone.unionByName(heads.join(texts, group).select(*rows.columns))
+    item = F.struct("start_line", "end_line", X.lines("text").alias("lines"))
+    grouped = islands(rows, *key).groupBy(*key, "island").agg(
+        F.count("*").alias("n"), F.first("text").alias("text"), F.array_sort(F.collect_list(item)).alias("items"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), *[F.max_by(c, order).alias(c) for c in best],
+    )
+    numbered = F.flatten(F.transform("items", lambda it, k: F.transform(it["lines"], lambda line, i: F.struct((it["start_line"] + i).alias("no"), k.alias("k"), line.alias("line")))))
+    spread = grouped.withColumn("spread", F.array_sort(numbered)).withColumn("last", F.size("spread") - 1)
+    kept = F.filter("spread", lambda x, i: (i == F.col("last")) | (F.get("spread", i + 1)["no"] != x["no"]))
+    whole = F.array_join(F.transform(kept, lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    return spread.withColumn("text", F.when(F.col("n") == 1, F.col("text")).otherwise(whole)).select(*rows.columns)

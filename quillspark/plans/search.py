@@ -87,12 +87,16 @@ def hybrid(chunks: DataFrame, query: str, query_vector: Sequence[float] | None,
 
 
 def both_or_one(v: DataFrame, t: DataFrame, w: float) -> DataFrame:
-    """Fused by rank; where one of the lists has no hit at all, the other with its own scores. At most two lists of candidates are read."""
-    fused = fusion.fuse(v, t, w)
-    rows = v.select("id", *COLUMNS).unionByName(t.select("id", *COLUMNS)).dropDuplicates(["id"])
-    sizes = v.agg(F.count("*").alias("nv")).join(t.agg(F.count("*").alias("nt")))
-    score = F.when(F.col("nt") == 0, F.col("vector")).when(F.col("nv") == 0, F.col("keyword")).otherwise(F.col("score"))
-    return fused.join(F.broadcast(sizes)).withColumn("score", score).drop("nv", "nt").join(rows, "id")
+    """Fused by rank; where one of the lists has no hit at all, the other with its own scores. Each list is read once: they are bounded, and meet
+    in one task."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    a = v.select("id", *COLUMNS, F.col("score").alias("vector"), F.col("rank").alias("vector_rank"), *none("double", "keyword"), *none("int", "keyword_rank"))
+    b = t.select("id", *COLUMNS, *none("double", "vector"), *none("int", "vector_rank"), F.col("score").alias("keyword"), F.col("rank").alias("keyword_rank"))
+    one = a.unionByName(b).groupBy("id").agg(*[F.first(c).alias(c) for c in COLUMNS], *[F.max(c).alias(c) for c in ("vector", "vector_rank", "keyword", "keyword_rank")])
+    all_rows = Window.partitionBy()
+    counted = one.withColumn("nv", F.count("vector").over(all_rows)).withColumn("nt", F.count("keyword").over(all_rows))
+    score = F.when(F.col("nt") == 0, F.col("vector")).when(F.col("nv") == 0, F.col("keyword")).otherwise(fusion.reciprocal(w))
+    return counted.withColumn("score", score).drop("nv", "nt")
 
 
 def keyword(chunks: DataFrame, query: str, limit: int | None = None, min_score: float = 0.0, seen: DataFrame | None = None, stopwords: Sequence[str] | None = None) -> DataFrame:
@@ -132,8 +136,8 @@ def passages(chunks: DataFrame, query: str, query_vector: Sequence[float] | None
     if seen_ranges is not None:
         found = intervals.uncovered(found, seen_ranges, "path").orderBy("rank").limit(limit)
     talk = is_session("path", session_dir)
-    rows = found.select("path", "start_line", "end_line", "text", "score", "rank", F.min("rank").over(Window.partitionBy("path")).alias("path_rank"))
-    joined = intervals.union_passages(rows.where(talk), "path").unionByName(rows.where(~talk))
+    rows = found.select("path", "start_line", "end_line", "text", "score", "rank", F.min("rank").over(Window.partitionBy("path")).alias("path_rank"), F.when(talk, "").otherwise(F.col("id")).alias("own"))
+    joined = intervals.union_passages(rows, "path", "own")
     if compress:
         short = compress(F.col("text"))
         joined = joined.withColumn("text", F.when((F.length(F.trim(short)) > 0) & (F.length(short) <= F.length("text")), short).otherwise(F.col("text")))
