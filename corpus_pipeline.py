@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, language_id, packing, simhash, suffix_dedup
+from quillspark.llm import decontamination, language_id, near_copies, packing, suffix_dedup
 from quillspark.llm.common import scratch_dir, table
 
 
@@ -21,8 +21,8 @@ def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with linked fingerprints that with the least id."""
-    return simhash.one_of_each(docs)
+    """Of documents that links of a Jaccard similarity of 0.8 or more over five-word shingles join, that with the least id."""
+    return near_copies.one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

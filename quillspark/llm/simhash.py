@@ -37,7 +37,7 @@ BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LANES = np.uint64(0x0001000100010001)
 
 
-def shingle_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(flat: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle of a block's texts, and for each text where its shingles begin."""
     flat = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
     solid = ~BLANK[flat]
@@ -48,11 +48,11 @@ def shingle_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = flat[solid]
     begin = np.cumsum(size) - size + np.arange(len(size))
     end = begin + size
-    shingles = np.where(n >= WORDS, n - WORDS + 1, (n > 0).astype(np.int64))
+    shingles = np.where(n >= words, n - words + 1, (n > 0).astype(np.int64))
     out_at = np.concatenate(([0], np.cumsum(shingles)))
     word_at = np.concatenate(([0], np.cumsum(n)))[:-1]
     first = np.arange(out_at[-1]) + np.repeat(word_at - out_at[:-1], shingles)
-    last = first + np.repeat(np.minimum(n, WORDS) - 1, shingles)
+    last = first + np.repeat(np.minimum(n, words) - 1, shingles)
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)), np.uint64, len(first))
     return hashes, out_at
