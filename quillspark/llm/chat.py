@@ -5,6 +5,9 @@ users; system turns stay system turns. A trained span is the text and end mark o
 one row per turn of each rendering, with its place in it, so that a conversation of any length is laid out by many
 tasks: offsets are prefix sums over stretches of SPAN turn numbers and then within them.
 
+What a text or a name holds can't open or close a turn: `<|` becomes `< |` in both, and control characters in names (line ends
+too) become blanks. Perspectives are told apart by the names as they are in the table.
+
 Defined results: turns are ordered by (turn, speaker, text), nulls first; a null or empty speaker is called `unknown` and is no
 participant, nor is `system`; null text is empty; turns with a null conversation id form one conversation; repeated rows are
 repeated turns; a conversation without participants gives no rows; other columns are ignored.
@@ -12,7 +15,7 @@ repeated turns; a conversation without participants gives no rows; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 64
@@ -21,14 +24,14 @@ BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 #: The same in DuckDB.
 SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations
+  SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations
 ), p AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker NOT IN ('unknown', 'system')
 ), r AS (
   SELECT t.conv_id, p.perspective, t.turn, t.speaker, t.body, t.speaker = p.perspective AS trained,
          CASE WHEN t.speaker = p.perspective THEN '<|im_start|>assistant' || chr(10)
               WHEN t.speaker = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || t.speaker || chr(10) END AS head
+              ELSE '<|im_start|>user name=' || replace(regexp_replace(t.speaker, '[\\x00-\\x1F\\x7F]', ' ', 'g'), '<|', '< |') || chr(10) END AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ), s AS (
   SELECT *, head || body || '<|im_end|>' || chr(10) AS segment,
@@ -42,15 +45,20 @@ FROM s
 """
 
 
+def plain(said: Column) -> Column:
+    """Without the opening of any control string."""
+    return F.replace(said, F.lit("<|"), F.lit("< |"))
+
+
 def perspectives(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, perspective, place (from 0), turn, speaker, segment (the rendered turn), start_at (its first character's place in the
     rendering), train_from and train_to (of its trained characters, null if it has none)."""
     rows = turns.select(
-        turns[conv_id].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(F.nullif(turns[role].cast("string"), F.lit("")), F.lit("unknown")).alias("speaker"), F.coalesce(turns[text].cast("string"), F.lit("")).alias("body"),
+        turns[conv_id].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(F.nullif(turns[role].cast("string"), F.lit("")), F.lit("unknown")).alias("speaker"), plain(F.coalesce(turns[text].cast("string"), F.lit(""))).alias("body"),
     )
     who = rows.where(~F.col("speaker").isin("unknown", "system")).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     trained = F.col("speaker") == F.col("perspective")
-    head = F.when(trained, f"{BEGIN}assistant\n").when(F.col("speaker") == "system", f"{BEGIN}system\n").otherwise(F.concat(F.lit(f"{BEGIN}user name="), "speaker", F.lit("\n")))
+    head = F.when(trained, f"{BEGIN}assistant\n").when(F.col("speaker") == "system", f"{BEGIN}system\n").otherwise(F.concat(F.lit(f"{BEGIN}user name="), plain(F.regexp_replace("speaker", r"[\x00-\x1F\x7F]", " ")), F.lit("\n")))
     seen = rows.join(who, rows["conv_id"].eqNullSafe(who["of"])).drop("of")
     seen = seen.withColumn("trained", trained).withColumn("segment", F.concat(head, "body", F.lit(END))).withColumn("size", F.length("segment").cast("long"))
     seen = seen.withColumn("stretch", F.floor(F.col("turn") / SPAN))

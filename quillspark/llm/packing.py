@@ -2,9 +2,10 @@
 
 Packing needs lengths only, and there are at most `capacity` different ones. So the plan is made from the histogram
 of lengths: first Martello and Toth's reduction fixes small sets of lengths that dominate every other choice for
-their largest member, then best fit in decreasing order packs the rest; equal bins are handled as one bin with a
-count. The plan's size depends on the capacity, not on the number of documents. Each piece then finds its place from
-its rank among the pieces of its length.
+their largest member, then best fit in decreasing order packs the rest. Equal bins are one bin with a count in both: a
+choice that stays the same while its lengths have plenty of pieces is made for all of these at once. So the plan's size
+depends on the capacity, not on the number of documents. Each piece then finds its place from its rank among the pieces
+of its length.
 
 Defined results: null text counts as empty and still has its end mark; equal rows are packed one by one; an empty
 table gives no rows; other columns are ignored.
@@ -60,11 +61,20 @@ def best_pair(counts: dict[int, int], present: list[int], room: int) -> tuple[in
     return total, minor
 
 
+#: No step below tells counts of so many from greater ones.
+PLENTY = 4
+
+
 def reduce_dominated(counts: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Takes from counts the bins whose content dominates every other bin with the same largest item."""
     fixed = []
     present = sorted(counts)
 
+    def alike(items: tuple[int, ...]) -> int:
+        """How many bins of these items can be taken one after another by the same decision: before each of them, all
+        items' lengths still have PLENTY pieces. At least one."""
+        return max(1, min((counts[x] - PLENTY) // items.count(x) for x in items))
+
     def take(items: tuple[int, ...], n: int) -> None:
         each = {x: items.count(x) for x in items}
         fixed.append((tuple(sorted(each.items(), reverse=True)), n))
@@ -97,12 +107,12 @@ def reduce_dominated(counts: dict[int, int], capacity: int) -> list[tuple[tuple[
                     break
                 total, minor = best_pair(rest, here, room)
                 if i >= total:
-                    take((j, i), 1 if j <= room else most)
+                    take((j, i), alike((j, i)) if j <= room else most)
                     changed = True
                     continue
                 b = fit_below(here, room - i)
                 if b and (b != i or rest[i] > 1) and b >= minor:  # two more fit: the largest, and no pair's smaller member exceeds b
-                    take((j, i, b), 1)
+                    take((j, i, b), alike((j, i, b)))
                     changed = True
                     continue
                 break
@@ -170,7 +180,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     for text in texts:
         try:
             ids = fast.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
-        except Exception:  # noqa: BLE001  its pattern engine gives up on very long runs of white space
+        except ValueError:  # its pattern engine gives up on very long runs of white space
             ids = np.array(vocab.library_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
         out.append(ids)
     return out

@@ -2,7 +2,9 @@
 
 Pre-tokens of a whole batch lie as one ragged array of symbols. In every round each sequence's lowest-rank
 adjacent pair is found, and all its places in all sequences merge at once; what has no pair left is finished and
-its surviving symbols are counted.
+its surviving symbols are counted. Pre-tokens of over LONG characters are linked lists in the same arrays: one step for each rank, from
+the lowest that is left, merges all its places in all of them and looks only at pairs that this made, so a pre-token of
+a megabyte takes seconds.
 
 Defined results: null or empty text has 0 tokens; special strings inside a text count one token each, as the
 vocabulary's library does by default; repeated rows give repeated results; other columns are ignored.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import vocab
-from .common import blocks, lean, utf8
+from .common import blocks, lean, segment_sums, utf8
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-#: A worker keeps the counts of so many pre-tokens; then it forgets them all.
-MEMO = 400_000
+#: A worker keeps the counts of so many pre-tokens of at most SHORT characters; then it forgets them all.
+MEMO, SHORT = 400_000, 64
+#: Characters from which a pre-token is merged as a linked list.
+LONG = 512
 
 
 def survivors(words: list[str], path: str) -> np.ndarray:
@@ -62,6 +67,64 @@ def survivors(words: list[str], path: str) -> np.ndarray:
     return out
 
 
+def long_survivors(words: list[str], path: str) -> np.ndarray:
+    """The same for long pre-tokens. Merging at one rank can't make a pair in another sequence, so the lowest rank of all sequences
+    that have any is the lowest of each of those it occurs in."""
+    inner, final, keys, ranks, made, base, _, _ = vocab.word_vocabulary(path)
+    flat, at = utf8(pa.array(words, pa.string()))
+    symbols = inner[flat]
+    symbols[at[1:] - 1] = final[flat[at[1:] - 1]]
+    n = len(symbols)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbours of each place; n and -1 where there is none
+    after[at[1:] - 1], before[at[:-1]] = n, -1
+    there = np.ones(n, bool)
+    by_rank = np.empty(len(keys), np.int64)
+    by_rank[ranks] = np.arange(len(keys))
+    waiting: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def offer(places: np.ndarray) -> None:
+        """Puts pairs that begin at these places in line by their ranks."""
+        places = places[after[places] < n]
+        key = symbols[places] * base + symbols[after[places]]
+        slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        known = keys[slot] == key
+        rank, places = ranks[slot[known]], places[known]
+        order = np.argsort(rank, kind="stable")
+        rank, places = rank[order], places[order]
+        if not len(rank):
+            return
+        first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+        for a, b in zip(first.tolist(), np.append(first[1:], len(rank)).tolist(), strict=True):
+            r = int(rank[a])
+            if r not in waiting:
+                waiting[r] = []
+                heappush(heap, r)
+            waiting[r].append(places[a:b])
+
+    offer(np.arange(n))
+    while heap:
+        r = heappop(heap)
+        slot = by_rank[r]
+        run = np.unique(np.concatenate(waiting.pop(r)))
+        run = run[there[run]]
+        run = run[after[run] < n]
+        run = run[symbols[run] * base + symbols[after[run]] == keys[slot]]  # others have changed since
+        if not len(run):
+            continue
+        fresh = np.concatenate(([True], after[run[:-1]] != run[1:]))  # places that overlap, as above
+        i = np.arange(len(run))
+        run = run[(i - np.maximum.accumulate(np.where(fresh, i, 0))) % 2 == 0]
+        gone = after[run]
+        symbols[run], there[gone] = made[slot], False
+        after[run] = after[gone]
+        linked = run[after[run] < n]
+        before[after[linked]] = linked
+        left = before[run]
+        offer(np.unique(np.concatenate([run, left[left >= 0]])))
+    return segment_sums(there, at).astype(np.int64)
+
+
 class Counter:
     """Counts tokens of texts; remembers pre-tokens between batches."""
 
@@ -93,10 +156,20 @@ class Counter:
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = [w for w in set(flat) if w not in self.memo]
+        long = [w for w in new if len(w) > LONG]
+        for k in range(0, len(long), 1 << 12):
+            part = long[k : k + (1 << 12)]
+            self.memo.update(zip(part, long_survivors(part, self.path).tolist(), strict=True))
+        new = [w for w in new if len(w) <= LONG]
         for k in range(0, len(new), 1 << 16):
             part = new[k : k + (1 << 16)]
             self.memo.update(zip(part, survivors(part, self.path).tolist(), strict=True))
         sums = np.concatenate(([0], np.cumsum(np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat)))))
+        for w in new:
+            if len(w) > SHORT:
+                del self.memo[w]
+        for w in long:
+            del self.memo[w]
         return sums[ends[1:]] - sums[ends[:-1]] + extra
 
 

@@ -88,6 +88,58 @@ def test_reduction_keeps_an_optimum(seed):
     assert fixed + (optimum(rest, capacity) if rest else 0) == optimum(items, capacity)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_taking_many_bins_at_once_changes_no_plan(seed, monkeypatch):
+    rng = random.Random(seed)
+    capacity = rng.choice([20, 50, 2048])
+    counts = {rng.randint(1, capacity): rng.choice([1, 2, 3, 5, 8, 30]) for _ in range(rng.randint(1, 30))}
+
+    def total():
+        out = {}
+        for content, n in packing.reduce_dominated(dict(counts), capacity):
+            out[content] = out.get(content, 0) + n
+        return out
+
+    many = total()
+    monkeypatch.setattr(packing, "PLENTY", 1 << 60)
+    assert many == total()
+
+
+def test_the_plan_does_not_grow_with_the_documents():
+    sizes = {len(packing.plan({600: n, 700: 2 * n}, 2048)[0]) for n in (100, 10_000, 1_000_000)}
+    assert len(sizes) == 1 and sizes.pop() < 20
+
+
+@pytest.mark.parametrize("empty", [None, ""])
+def test_ids_that_are_null_or_repeated(spark, empty):
+    rows = [(None, "one", 7, 7), (None, "one", 7, 7), (4, "two", 7, 7), (4, "two words", 7, 7), (4, empty, 7, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, piece int, length long")
+    got = packing.pack_documents(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["4", "4", "4", "None", "None"]
+    assert sorted(r["offset"] for r in got)[0] == 0 and len({(r["sequence_id"], r["offset"]) for r in got}) == 5
+    counted = token_counts.token_counts(docs.withColumnRenamed("length", "n_bytes")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in counted) == [("4", 0), ("4", 1), ("4", 2), ("None", 1), ("None", 1)]
+
+
+def test_long_words_equal_the_library():
+    rng = random.Random(8)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aet", "abcdefghijklmnopqrstuvwxyz", "éñüa") for n in (513, 700, 4000)] + ["a" * 5001, "the" * 2000, "a" * 512, "z" * 513]
+    want = [len(lib.encode(w, add_special_tokens=False).ids) for w in words]
+    assert token_counts.long_survivors(words, path).tolist() == want
+    assert token_counts.Counter(path).count(words).tolist() == want
+
+
+def test_a_word_of_a_megabyte():
+    rng = random.Random(9)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    counter = token_counts.Counter(path)
+    assert counter.count([word]).tolist() == [len(Tokenizer.from_file(path).encode(word, add_special_tokens=False).ids)]
+    assert not counter.memo
+
+
 def test_pieces_equal_the_library_and_fill_sequences(spark):
     rng = random.Random(3)
     texts = ODD + [" ".join(rng.choice(["alpha", "Beta", "gamma,", "déjà", "42"]) for _ in range(rng.randint(0, 3000))) for _ in range(60)] + ["same text"] * 40
