@@ -4,14 +4,14 @@ Every language has a codeword of +1 and -1. One binary classifier for each bit (
 tells how likely the bit is set; the codeword with the least loss, each bit weighted by how well its classifier
 does on the training rows, gives the language. A small gap to the second best codeword marks a text as ambiguous.
 
-Defined results: null texts and texts without a letter are `und` with score 0; if no labelled row can be learned
-from, every text is `und`; repeated rows give repeated results; columns other than the id, the text and (for learning)
+Defined results: null texts and texts without a letter are `und` with score 0; null and blank languages aren't learned; if no labelled row
+can be learned from, every text is `und`; with one language every text that has a letter is of it; repeated rows give repeated results; columns other than the id, the text and (for learning)
 the language are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, hashed_share, lean, segment_sums, utf8
+from .common import blocks, crc_mod, cut, lean, segment_sums, utf8
 from .ngrams import lower_latin, no_cross
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
@@ -30,8 +30,10 @@ VOID = 2 * GRAMS
 WORD = np.where([(97 <= b <= 122) or b >= 128 for b in range(256)], np.arange(256), 32).astype(np.uint32)
 #: Loss gap of the two nearest codewords under which a text is ambiguous.
 AMBIGUOUS = 1.0
-#: Training documents of a language at most (in expectation), and the longest that is used.
-PER_LANGUAGE, LONGEST = 600, 1 << 16
+#: What the model is fitted on at most: rows of a language (in expectation), and languages (the most frequent ones, ties by name).
+PER_LANGUAGE, LANGUAGES = 600, 256
+#: Longer texts weigh as much in the counts as one of so many bytes. Bytes of sampled texts that one task counts, in expectation.
+FULL_WEIGHT, TASK_BYTES = 1 << 16, 32 << 20
 
 
 @dataclass
@@ -94,45 +96,79 @@ def losses(z: np.ndarray, model: Model) -> np.ndarray:
     return right @ set_.T + wrong @ (1 - set_).T
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    languages = sorted(set(langs))
+def gram_counts() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's rows (text, of): how often a language has a gram. Rows (of, gram, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for part in blocks(batches):
+            flat, at = utf8(part.column("text"))
+            size = np.diff(at)
+            of, weight = np.repeat(part.column("of").to_numpy(), size), np.repeat(np.minimum(1, FULL_WEIGHT / np.maximum(size, 1)), size)
+            for index in gram_indices(flat, at):
+                for k in np.unique(of).tolist():
+                    own = (of == k) & (index < VOID)
+                    total[k] = total.get(k, 0) + np.bincount(index[own], weight[own], minlength=2 * GRAMS)
+        for k, n in total.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], names=["of", "gram", "n"])
+
+    return run
+
+
+def weighed(languages: list[str], share: np.ndarray) -> Model:
+    """Classifiers from the grams' counts by language (languages x grams); their scales and trust are 1."""
     codes = codewords(len(languages))
-    rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(np.searchsorted(languages, langs) if langs else [], pa.int64())], names=["text", "of"])
-    share = np.zeros((len(languages), 2 * GRAMS))
-    for part in blocks(iter([rows])):
-        flat, at = utf8(part.column("text"))
-        of = np.repeat(part.column("of").to_numpy(), np.diff(at))
-        for index in gram_indices(flat, at):
-            for k in np.unique(of):
-                share[k] += np.bincount(index[(of == k) & (index < VOID)], minlength=2 * GRAMS)
-    share /= np.maximum(1, share.sum(1, keepdims=True))
-    share += 1e-6
+    share = share / np.maximum(1, share.sum(1, keepdims=True)) + 1e-6
     weights = np.zeros((VOID + 1, codes.shape[1]), np.float32)
     for b in range(codes.shape[1] if len(languages) > 1 else 0):
         weights[:VOID, b] = np.log(share[codes[:, b] > 0].mean(0)) - np.log(share[codes[:, b] < 0].mean(0))
-    model = Model(languages, codes, weights, np.ones(codes.shape[1]), np.ones(codes.shape[1]))
-    if len(languages) > 1:
-        z = np.concatenate([margins(*utf8(part.column("text")), weights, model.scales) for part in blocks(iter([rows]))])
-        model.scales = 4 / np.maximum(np.abs(z).mean(0), 1e-9)
-        true = codes[rows.column("of").to_numpy()]
-        model.trust = np.maximum((z * true > 0).mean(0) - 0.5, 0.01)
-        model.trust /= model.trust.mean()
-    return model
+    return Model(languages, codes, weights, np.ones(codes.shape[1]), np.ones(codes.shape[1]))
+
 
+def bit_sums(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a task's rows (text, of): by bit the margins' sizes, how many have the right sign, and how many there are."""
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """From rows with a language that aren't held out: of each language about per_language, chosen by a hash of
-    the id, none longer than LONGEST bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = model.codes.shape[1]
+        size, right, n = np.zeros(bits), np.zeros(bits), 0
+        for part in blocks(batches):
+            z = margins(*utf8(part.column("text")), model.weights, model.scales)
+            size += np.abs(z).sum(0)
+            right += (z * model.codes[part.column("of").to_numpy()] > 0).sum(0)
+            n += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(range(bits), pa.int32()), pa.array(size), pa.array(right), pa.array([n] * bits, pa.int64())], names=["bit", "size", "right", "n"])
+
+    return run
+
+
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> Model:
+    """From rows with a language (not blank) that aren't held out: of each of the most frequent languages about per_language rows,
+    chosen by a hash of id and text, whole and whatever their length. Executors read the texts; counts come to the driver, 2 * GRAMS for
+    each language and fewer for each bit."""
     known = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return fit([], [])
-    chosen = F.lit(False)
-    for code, n in sorted(counts.items()):
-        chosen |= (F.col("lang") == code) & hashed_share("doc_id", per_language / n)
-    rows = known.where(chosen & (F.octet_length("text") <= LONGEST)).select("lang", "text").collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    known = known.where((F.trim("lang") != "") & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not found:
+        return Model([], codewords(0), np.zeros((VOID + 1, 1), np.float32), np.ones(1), np.ones(1))
+    languages = sorted(r["lang"] for r in found)
+    shares = [(r["lang"], languages.index(r["lang"]), min(1.0, per_language / r["n"]), r["size"]) for r in found]
+    if len(languages) == 1:
+        return weighed(languages, np.zeros((1, 2 * GRAMS)))
+    # at most most_languages rows: a bound by construction
+    of = F.broadcast(docs.sparkSession.createDataFrame([s[:3] for s in shares], "lang string, of int, share double"))
+    picked = known.join(of, "lang").where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    sample = cut(picked.select("text", "of").repartition(max(1, round(sum(share * size for _, _, share, size in shares) / TASK_BYTES))))
+    counted = sample.mapInArrow(gram_counts(), "of int, gram int, n double").groupBy("of", "gram").agg(F.sum("n").alias("n")).toArrow()
+    share = np.zeros((len(languages), 2 * GRAMS))
+    share[counted.column("of").to_numpy(), counted.column("gram").to_numpy()] = counted.column("n").to_numpy()
+    model = weighed(languages, share)
+    sums = sample.mapInArrow(bit_sums(model), "bit int, size double, right double, n long").groupBy("bit").agg(F.sum("size"), F.sum("right"), F.sum("n")).collect()
+    for bit, size, right, n in sums:
+        model.scales[bit] = 4 / max(size / max(1, n), 1e-9)
+        model.trust[bit] = max(right / max(1, n) - 0.5, 0.01)
+    model.trust /= model.trust.mean()
+    return model
 
 
 def decide(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

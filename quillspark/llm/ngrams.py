@@ -23,7 +23,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slice_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each flat[begin:end]; equal bytes have equal hashes wherever they stand."""
+    """A 64-bit hash of each flat[begin:end]; equal bytes (or code points) have equal hashes wherever they stand."""
     up, down = powers(len(flat))
     sums = np.zeros(len(flat) + 1, np.uint64)
     np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -43,6 +43,20 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def characters(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and where texts begin among them."""
+    begin = np.flatnonzero((flat & 0xC0) != 0x80)
+    code = flat[begin].astype(np.uint32)
+    if len(begin) == len(flat):
+        return code, at
+    more = (code >= 0xC0).astype(np.int8) + (code >= 0xE0) + (code >= 0xF0)
+    code &= np.array([0x7F, 0x1F, 0x0F, 0x07], np.uint32)[more]
+    for k in range(1, 4):
+        own = np.flatnonzero(more >= k)
+        code[own] = code[own] << np.uint32(6) | flat[np.minimum(begin[own] + k, len(flat) - 1)] & np.uint32(0x3F)
+    return code, np.searchsorted(begin, at)
+
+
 def lower_latin(flat: np.ndarray) -> np.ndarray:
     """A-Z and the capitals of Latin-1 (two bytes in UTF-8) in lower case."""
     out = np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
