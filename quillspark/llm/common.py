@@ -53,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared file system, through Spark's own access to it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n; null keys count as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))

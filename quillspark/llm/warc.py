@@ -1,17 +1,19 @@
 """Deterministic sharded WARC writer, and a reader.
 
 Records are sorted by page id over ranges whose ends come from exact byte counts, so equal pages give equal shards on every
-run. A shard's task writes gzip members, one per record, with headers and digests made anew from the page alone; it rolls to a
-new file when the compressed size reaches a limit. Files are written under temporary names and renamed when they are complete;
-their list is written as a manifest table once all are there, and readers open only what the manifest lists. So a task
-that is lost and run again replaces its files by equal ones.
-
-Of pages with equal payloads (by SHA-1 and size) of at least `least` bytes the one with the smallest id is the response; the
+run. Rows without an id, and those of one id with more bytes than a shard, are dealt out further by a hash of the payload. A shard's
+task writes gzip members, one per record, with headers and digests made anew from the page alone; it rolls to a new file when the
+compressed size reaches a limit. Files are written under temporary names and renamed when they are complete; their list is
+written as a manifest table once all are there, and readers open only what the manifest lists. A task that is lost and run
+again finds the files that it had renamed: equal ones stay, others are replaced. What lost tasks leave under temporary names goes when the
+manifest is there.
+
+Of pages with equal payloads (by SHA-256 and size) of at least `least` bytes the one with the smallest id is the response; the
 others are revisits, whose block keeps the response's HTTP headers only.
 
 Defined results: null html is an empty payload; a null url gives a record without target URI; a null page id sorts before all others
 and never is the response that others refer to unless all equal payloads have null ids (then each is a response); of rows with equal ids and
-payloads the first is a response and the others revisit it; other columns are ignored; an empty table gives a manifest of no files.
+payloads the first is a response and the others revisit it (rows that are equal in all share a shard); other columns are ignored; an empty table gives a manifest of no files.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, scratch_dir
+from .common import cut, delete, scratch_dir
 
 #: Payload bytes of a shard, compressed bytes of a file, cells of the histogram of ids.
 SHARD_BYTES, FILE_BYTES, CELLS = 24 << 20, 32 << 20, 1 << 14
+#: Compressed bytes that a task reads back; fewer where there are idle cores.
+READ_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard long, file string, n_bytes long, n_records long, sha256 string"
@@ -60,8 +64,9 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_id(page_id: int | None, digest: str, k: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{k}')}>"
+def record_id(page_id: int | None, digest: str, k: int, shard: int | None = None) -> str:
+    """k tells rows of equal ids and payloads apart, which one shard holds; without an id it is the shard's number too."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{k}' + ('' if shard is None else f':{shard}'))}>"
 
 
 def headers(kind: str, fields: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -70,23 +75,23 @@ def headers(kind: str, fields: list[tuple[str, str | None]], block: bytes) -> by
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, k: int, refers: tuple[int | None, str | None] | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, k: int, refers: tuple[int | None, str | None] | None, shard: int | None = None) -> bytes:
     """A response, or a revisit of the page (id, url) that it refers to."""
     digest = base32(hashlib.sha1(payload).digest())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    fields = [("WARC-Record-ID", record_id(page_id, digest, k)), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("Page-ID", None if page_id is None else str(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    fields = [("WARC-Record-ID", record_id(page_id, digest, k, shard)), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("Page-ID", None if page_id is None else str(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if refers is None:
         return headers("response", fields, http + payload)
     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers[0], digest, 0)), ("WARC-Refers-To-Target-URI", refers[1]), ("WARC-Refers-To-Date", DATE), ("Refers-To-Page-ID", None if refers[0] is None else str(refers[0]))]
     return headers("revisit", fields, http)
 
 
-def range_ends(sizes: DataFrame, target: int) -> np.ndarray:
-    """Ends of ranges of page ids that hold about `target` bytes each (more only where a single id has more). sizes: page_id, n.
-    Ranges are halved by equal-width cells; at most about CELLS counts come to the driver for each level."""
+def range_ends(sizes: DataFrame, target: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Ends of ranges of page ids that hold about `target` bytes each, and the bytes of the ids that have more by themselves (each is a range).
+    sizes: page_id, n. Ranges are halved by equal-width cells; at most about CELLS counts come to the driver for each level."""
     lowest, highest = sizes.agg(F.min("page_id"), F.max("page_id")).first()
     if lowest is None:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), {}
     edges, fixed = [lowest, highest + 1], {}
     while True:
         spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False) if a not in fixed and b - a > 1 or not fixed]
@@ -121,23 +126,54 @@ def range_ends(sizes: DataFrame, target: int) -> np.ndarray:
             ends.append(a)
             total = 0
         total += fixed[a]
-    return np.array(ends, np.int64)
+    return np.array(ends, np.int64), {a: n for a, n in fixed.items() if n > target}
+
+
+def settle(fs: pafs.FileSystem, temp: str, name: str, size: int, sha256: str) -> None:
+    """Renames a complete file. Where an earlier attempt at the task has left its file, an equal one stays; not all file systems rename
+    onto a file that is there."""
+    there = fs.get_file_info(name)
+    if there.type == pafs.FileType.File:
+        same = there.size == size
+        if same:
+            digest = hashlib.sha256()
+            with fs.open_input_stream(name, compression=None) as stream:
+                while part := stream.read(1 << 20):
+                    digest.update(part)
+            same = digest.hexdigest() == sha256
+        if same:
+            fs.delete_file(temp)
+            return
+        fs.delete_file(name)
+    fs.move(temp, name)
 
 
 def write(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, level: int = 6) -> DataFrame:
     """Writes pages (page_id, url, html) as WARC files under out, and returns the manifest as written."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
-    ends = range_ends(rows.select("page_id", (F.octet_length("html") + 1).cast("long").alias("n")), shard_bytes)
+    sizes = rows.select("page_id", (F.octet_length("html") + 1).cast("long").alias("n"))
+    ends, heavy = range_ends(sizes, shard_bytes)
+    lost = sizes.where("page_id IS NULL").agg(F.sum("n")).first()[0] or 0
+    # shards are numbered in the order of their ids; those that split an id or the rows without one come after all ranges
+    first, parts = len(ends) + 1, {}
+    for i, n in [(NONE, lost), *sorted(heavy.items())]:
+        parts[i] = (first, max(1, -(-n // shard_bytes)))
+        first += parts[i][1]
+    split, starts, counts = np.array(list(parts), np.int64), *(np.array(x, np.int64) for x in zip(*parts.values(), strict=True))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By id, and where that isn't enough by the payload's hash."""
         for batch in batches:
             ids = batch.column("page_id").fill_null(NONE).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(ends, ids, "right"))], names=[*batch.schema.names, "shard"])
+            k = np.minimum(np.searchsorted(split, ids), len(split) - 1)
+            part = starts[k] + (batch.column("hash").to_numpy().view(np.uint64) % counts[k].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.where(split[k] == ids, part, np.searchsorted(ends, ids, "right")))], names=[*batch.schema.names[:-1], "shard"])
 
-    keyed = rows.select("page_id", "url", F.sha1("html").alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= least)
-    first = keyed.where("page_id IS NOT NULL").groupBy("sha", "n").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("times"))
+    hashed = F.xxhash64("html").alias("hash")
+    keyed = rows.select("page_id", "url", F.sha2("html", 256).alias("sha"), F.octet_length("html").alias("n"), hashed).where(F.col("n") >= least)
+    first_of = keyed.where("page_id IS NOT NULL").groupBy("sha", "n").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("times"))
     # A row with a null id has no id to be matched by but its payload, so its page_id says nothing here
-    again = keyed.join(first, ["sha", "n"]).where("page_id IS NULL OR page_id > first.page_id OR times > 1").select("page_id", "sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")).distinct()
+    again = keyed.join(first_of, ["sha", "n"]).where("page_id IS NULL OR page_id > first.page_id OR times > 1").select("page_id", "sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "hash").distinct()
     again = again.mapInArrow(deal, "page_id long, sha string, first_id long, first_url string, shard long")
 
     def run(key: tuple, own: pa.Table, seen: pa.Table) -> pa.Table:
@@ -159,7 +195,7 @@ def write(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_B
         def finish() -> None:
             sink.close()
             name = f"part-{shard:07d}-{len(files):04d}.warc.gz"
-            fs.move(temp, f"{folder}/{name}")
+            settle(fs, temp, f"{folder}/{name}", size, digest.hexdigest())
             files.append((shard, name, size, records, digest.hexdigest()))
 
         for i in order:
@@ -168,12 +204,12 @@ def write(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_B
                 temp = f"{folder}/.writing-{attempt}-{len(files)}"
                 sink, digest, size, records = fs.open_output_stream(temp, compression=None), hashlib.sha256(), 0, 0
                 put(headers("warcinfo", [("WARC-Record-ID", record_id(None, f"info:{shard}", len(files))), ("WARC-Date", DATE), ("WARC-Filename", f"part-{shard:07d}-{len(files):04d}.warc.gz"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-            sha = hashlib.sha1(payload).hexdigest()
+            sha = hashlib.sha256(payload).hexdigest()
             k = times[page_id, sha] = times.get((page_id, sha), -1) + 1
             found = refers.get((page_id, sha))
             if found is not None and found[0] == page_id and k == 0:
                 found = None
-            put(page_record(page_id, url, payload, k, found))
+            put(page_record(page_id, url, payload, k, found, shard if page_id is None else None))
             if size >= file_bytes:
                 finish()
                 sink = None
@@ -184,8 +220,11 @@ def write(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_B
 
     fs, folder = filesystem(out)
     fs.create_dir(folder, recursive=True)
-    dealt = lean(rows).mapInArrow(deal, "page_id long, url string, html string, shard long")
+    dealt = rows.select("*", hashed).mapInArrow(deal, "page_id long, url string, html string, shard long")
     dealt.groupBy("shard").cogroup(again.groupBy("shard")).applyInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{out}/_manifest")
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        if info.base_name.startswith(".writing-"):
+            fs.delete_file(info.path)
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{out}/_manifest")
 
 
@@ -220,7 +259,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
     """The page records of the files that the manifest lists; payloads: with those of responses."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/_manifest").select("file")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{out}/_manifest")
+    n, size = manifest.agg(F.count("*"), F.sum("n_bytes")).first()
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-(size or 0) // READ_BYTES))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(out)
@@ -249,12 +290,14 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
         kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("file", pa.string()), ("payload", pa.binary())][: len(rows[0])]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return manifest.repartition("file").mapInArrow(run, FULL_RECORDS if payloads else RECORDS)
+    return manifest.select("file").repartition(tasks).mapInArrow(run, FULL_RECORDS if payloads else RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Writes the pages to a new folder under the shared one, and reads the archives back."""
+    """Writes the pages to a new folder under the shared one, and reads the archives back; then the folder goes."""
     spark = pages.sparkSession
     out = f"{scratch_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(pages, out, least)
-    return read(spark, out)
+    found = cut(read(spark, out))
+    delete(spark, out)
+    return found

@@ -83,3 +83,34 @@ def test_rounds_trip_over_the_table(spark):
     rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
     got = warc.round_trip(pages).collect()
     assert sorted([(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=str) == expected(rows, 0)
+
+
+def test_null_ids_and_one_heavy_id_are_split(spark, tmp_path):
+    rows = [(None, f"http://n/{i}", "n" * 200 + str(i)) for i in range(60)] + [(5, f"http://h/{i}", "h" * 200 + str(i % 50)) for i in range(60)] + [(i, "u", "x" * 90) for i in range(6, 20)]
+    manifest = warc.write(frame(spark, rows), str(tmp_path / "w"), shard_bytes=1000).collect()
+    assert len(manifest) > 20 and max(r["n_records"] for r in manifest) < 25
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    assert sorted([(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got], key=str) == expected(rows, 0)
+
+
+def test_a_task_that_runs_again_meets_its_files(spark, tmp_path):
+    """A first attempt has renamed a file and left another half written; a file of another content is replaced."""
+    out = tmp_path / "w"
+    first = {r["file"]: r["sha256"] for r in warc.write(frame(spark, ROWS), str(out), shard_bytes=1000).collect()}
+    names = sorted(first)
+    (out / ".writing-lost-0").write_bytes(b"half")
+    (out / names[1]).write_bytes(b"other")
+    (out / names[2]).unlink()
+    again = {r["file"]: r["sha256"] for r in warc.write(frame(spark, ROWS), str(out), shard_bytes=1000).collect()}
+    assert again == first == {n: hashlib.sha256((out / n).read_bytes()).hexdigest() for n in names}
+    assert not (out / ".writing-lost-0").exists()
+
+
+def test_reading_takes_as_many_tasks_as_there_are_cores(spark, tmp_path):
+    warc.write(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), str(tmp_path / "w"), shard_bytes=100_000)
+    assert warc.read(spark, str(tmp_path / "w")).rdd.getNumPartitions() == 8
+
+
+def test_the_round_trip_leaves_no_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "scratch_dir", lambda _: str(tmp_path))
+    assert warc.round_trip(frame(spark, ROWS)).count() == len(ROWS) and os.listdir(tmp_path) == []
