@@ -35,18 +35,6 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def lean(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have 1,000 rows where they had Spark's own 10,000: texts of some KB each then go to Python in
-    batches of some MB. A session that names another number keeps it."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS) == "10000":
-        conf.set(BATCH_ROWS, "1000")
-    return df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read from there: its lineage ends, lost executors don't matter."""
     scratch_dir(df.sparkSession)

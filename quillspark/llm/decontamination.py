@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, lean, mix, utf8
+from .common import blocks, mix, utf8
 from .ngrams import characters, runs, slice_hashes
 
 #: Tokens of a window, of a window of single characters; weight under which an item matches whole texts only.
@@ -220,13 +220,13 @@ def one_pass(rows: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
                 n = table.size[i]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(t)), ids.take(pa.array(i)), pa.array(same.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(same / n)], names=["doc_id", "item_id", "n_match", "n_item", "similarity"])
 
-    return lean(rows).mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that contain no test item."""
     for items in item_slices(benchmark):
-        docs = lean(docs).mapInArrow(keep_clean(docs, [t for _, t in items], text), docs.schema)
+        docs = docs.mapInArrow(keep_clean(docs, [t for _, t in items], text), docs.schema)
     return docs
 
 

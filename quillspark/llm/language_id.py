@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_mod, cut, lean, segment_sums, utf8
+from .common import blocks, crc_mod, cut, segment_sums, utf8
 from .ngrams import lower_latin, no_cross
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean"
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names[best], pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return lean(rows).withColumn("held_out", crc_mod("doc_id", 3) == 1).mapInArrow(run, SCHEMA)
+    return rows.withColumn("held_out", crc_mod("doc_id", 3) == 1).mapInArrow(run, SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -207,7 +207,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0
             _, known, score, unsure = decide(part.column(text), model)
             yield part.filter(pa.array(known & ~(unsure & (score < least))))
 
-    return lean(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

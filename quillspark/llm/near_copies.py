@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, lean, mix, tidied, utf8
+from .common import blocks, cut, mix, tidied, utf8
 from .components import components
 from .simhash import shingle_hashes
 
@@ -119,7 +119,7 @@ def verified(rows: pa.Table) -> pa.Table:
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and component_id, the least doc_id of its group."""
-    texts = lean(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     marked = cut(texts.mapInArrow(sketches, "doc_id long, digest long, bands array<long>"))
     nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("least"))
     banded = marked.select("digest", F.explode("bands").alias("key"))

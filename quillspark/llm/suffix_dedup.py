@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, lean, mix, tidied, utf8
-from .suffix_sort import repeats, suffix_array
+from .common import blocks, mix, tidied, utf8
+from .suffix_sort import permuted_prefixes, suffix_array
 
 LENGTH, GRAM, SHORT = 50, 32, 16
 #: Bytes of text in a unit; minimizers in a bucket (about a tenth of the bytes are minimizers).
@@ -107,10 +107,11 @@ class Plan:
     def __init__(self, total_bytes: int, length: int):
         self.length = length
         self.units = max(1, -(-total_bytes // UNIT_BYTES))
-        self.bucket_bits = min(16, max(2, (total_bytes // (10 * BUCKET_SIZE)).bit_length()))
-        # 32 bits of a minimizer beside its bucket tell about BUCKET_SIZE of them apart well enough; past 2**16 buckets, 48 bits
-        self.wide = total_bytes // (10 * BUCKET_SIZE) >> 16 > 0
-        self.bits = self.bucket_bits + (48 if self.wide else 32)
+        # buckets grow with the input, so that a bucket holds about BUCKET_SIZE minimizers at every size
+        self.bucket_bits = max(2, (total_bytes // (10 * BUCKET_SIZE)).bit_length())
+        # 32 bits of a minimizer beside its bucket tell about BUCKET_SIZE of them apart well enough; past 2**16 buckets all 64 bits are used
+        self.wide = self.bucket_bits > 16
+        self.bits = 64 if self.wide else self.bucket_bits + 32
         self.shards = 4 * self.units
 
     def shard(self, value: np.ndarray) -> np.ndarray:
@@ -268,9 +269,9 @@ def first_owners(texts: list[bytes], least: np.ndarray, length: int) -> np.ndarr
     order = suffix_array(symbols, 257)
     of = np.repeat(np.arange(len(texts)), size + 1)
     starts = np.arange(n) + length <= np.repeat(begin + size, size + 1)
-    equal = repeats(data, order, np.concatenate([starts, np.zeros(len(data) - n, bool)]), length)
+    common = permuted_prefixes(data, order, np.concatenate([starts, np.zeros(len(data) - n, bool)]), length)
     ranked = order[starts[order]]
-    group = np.flatnonzero(~equal)
+    group = np.flatnonzero(common[ranked] < length)
     low = np.minimum.reduceat(least[of[ranked]], group)
     owner = np.empty(n, np.int64)
     owner[ranked] = np.repeat(low, np.diff(np.append(group, len(ranked))))
@@ -358,7 +359,7 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: s
     plan = Plan(total, length)
     unit = F.pmod(F.xxhash64(F.lit("unit"), F.coalesce("doc_id", F.lit(WHOLE))), F.lit(plan.units))
     # a partition holds one unit, or more of them once there are very many
-    dealt = lean(docs).withColumn("__unit", unit).repartition(min(plan.units, 1 << 16), "__unit")
+    dealt = docs.withColumn("__unit", unit).repartition(min(plan.units, 1 << 16), "__unit")
     sent = dealt.groupBy("__unit").applyInArrow(tidied(send_minimizers(plan)), "bucket long, unit long, data binary, shared binary")
     marks = sent.groupBy("bucket").applyInArrow(tidied(mark_repeated(plan)), MESSAGE)
     strings = dealt.groupBy("__unit").cogroup(marks.groupBy("unit")).applyInArrow(tidied(send_strings(plan)), "shard long, unit long, data binary, lens binary, least binary")

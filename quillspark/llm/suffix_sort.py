@@ -4,8 +4,8 @@ Suffixes are classified as S (smaller than the next one) or L; the leftmost S su
 and all others are induced from them: L suffixes bucket by bucket from the least byte up, S suffixes from the greatest
 down. Inducing visits each suffix once and handles a bucket at a time: what a bucket adds to itself in rounds,
 what it adds to others in one stable distribution. LMS substrings are sorted by the same inducing and named; if
-names repeat, the string of names is sorted in turn. Its alphabet is as large as itself nearly, so a step for each symbol
-would not pay in numpy: the names are refined over doubling distances, which only touches names that still repeat.
+names repeat, the string of names is sorted in turn: by the same inducing where its alphabet is small (SYMBOLS), else by doubling distances
+over names that still repeat, as inducing takes a numpy step for each symbol.
 """
 
 from __future__ import annotations
@@ -71,6 +71,9 @@ def induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, alphabet: int)
         if starts[c] == starts[c + 1]:
             continue
         onward, high = [], starts[c + 1]
+        if c == text[n - 1] and high - starts[c] == 1:  # nothing follows the last suffix, so nothing induces it
+            tail[c] = starts[c]
+            out[tail[c]] = n - 1
         while high > tail[c]:
             own = out[tail[c] : high][::-1]
             high = tail[c]
@@ -86,7 +89,7 @@ def induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, alphabet: int)
         onward.append(before[s_type[before]])
         onward = np.concatenate(onward)
         if c == text[n - 1] and out[starts[c]] < 0:
-            out[starts[c]] = n - 1  # nothing follows the last suffix, so nothing induces it
+            out[starts[c]] = n - 1
         if len(onward):
             deal(onward, False)
     return out
@@ -119,25 +122,47 @@ def refine(rank: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Names that recursion takes at most, and how often each has to repeat on average.
+SYMBOLS, REPEATED = 4096, 64
+
+
+def sort_names(rank: np.ndarray) -> np.ndarray:
+    """Suffix array of a string of names whose last one occurs once."""
+    values, text = np.unique(rank, return_inverse=True)
+    if len(values) <= SYMBOLS and len(values) * REPEATED <= len(rank):
+        return induced(text.astype(np.int32), len(values), zeros=False)
+    return refine(rank)
+
+
 def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     """text: strings of integers from 1 to alphabet - 1, none of them empty, with a 0 after each; zeros count as different
     from one another, in the order of their places."""
+    return induced(text, alphabet, zeros=True)
+
+
+def induced(text: np.ndarray, alphabet: int, zeros: bool) -> np.ndarray:
+    """zeros: as above; else a string of any integers from 0 on whose last one occurs once."""
     n = len(text)
+    placed = place_zeros if zeros else lambda order, _: order
     s_type = s_types(text)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = s_type[1:] & ~s_type[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
+    if not len(lms):
+        return placed(induce(text, s_type, lms, alphabet), text)
     by_byte = lms[np.argsort(text[lms], kind="stable")]
-    order = place_zeros(induce(text, s_type, by_byte, alphabet), text)
+    order = placed(induce(text, s_type, by_byte, alphabet), text)
     order = order[is_lms[order]]
     length = np.empty(n, np.int32)
     length[lms[:-1]] = np.diff(lms)
-    length[n - 1] = 0
+    length[lms[-1]] = n - 1 - lms[-1]
     a, b = order[:-1], order[1:]
-    same = (length[a] == length[b]) & (text[a] == text[b]) & (text[a] != 0)
+    same = (length[a] == length[b]) & (text[a] == text[b])
+    if zeros:
+        same &= text[a] != 0
     live, o = np.flatnonzero(same), 1
     while len(live):
-        unlike = text[a[live] + o] != text[b[live] + o]
+        unlike = text[np.minimum(a[live] + o, n - 1)] != text[np.minimum(b[live] + o, n - 1)]
         same[live[unlike]] = False
         live = live[~unlike & (o < length[a[live]])]
         o += 1
@@ -147,7 +172,7 @@ def suffix_array(text: np.ndarray, alphabet: int) -> np.ndarray:
     slot[lms] = np.arange(len(lms))
     rank = np.empty(len(lms), np.int64)
     rank[slot[order]] = name
-    return place_zeros(induce(text, s_type, lms[refine(rank)], alphabet), text)
+    return placed(induce(text, s_type, lms[sort_names(rank)], alphabet), text)
 
 
 def place_zeros(order: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -157,17 +182,22 @@ def place_zeros(order: np.ndarray, text: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeats(data: np.ndarray, order: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Of the marked starts, in suffix order: True where the common prefix with the marked suffix before it has `length`
-    bytes. Common prefixes are computed in the order of the text (permuted), capped at `length`. data: uint8, longer by
-    8 bytes than what is read; every marked suffix has `length` bytes of its own."""
+def permuted_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """The permuted array of common prefixes: by the place in the text of each marked start, how many bytes (`most` at most) it has in common
+    with the marked suffix that comes before it in suffix order; 0 for the others. data: uint8, longer by 8 bytes than what is read; every
+    marked suffix has `most` bytes of its own."""
     ranked = order[starts[order]]
     before = np.full(len(data), -1, np.int32)
     before[ranked[1:]] = ranked[:-1]
     words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    common = np.zeros(len(data), np.int32)
     live = np.flatnonzero(before >= 0).astype(np.int32)
-    for o in [*range(0, length - 7, 8), length - 8]:
-        live = live[words[live + o] == words[before[live] + o]]
-    equal = np.zeros(len(data), bool)
-    equal[live] = True
-    return equal[ranked]
+    for o in range(0, most, 8):
+        unlike = words[live + o] ^ words[before[live] + o]
+        ended = unlike != 0
+        low = unlike[ended]
+        # bytes before the first one that differs: zeros below the lowest bit that is set
+        common[live[ended]] = o + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3)
+        live = live[~ended]
+    common[live] = most
+    return np.minimum(common, most)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import vocab
-from .common import blocks, lean, segment_sums, utf8
+from .common import blocks, segment_sums, utf8
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: A worker keeps the counts of so many pre-tokens of at most SHORT characters; then it forgets them all.
@@ -187,4 +187,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, do
             n = counter.count(part.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return lean(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from quillspark.llm import suffix_dedup as sd
-from quillspark.llm.suffix_sort import suffix_array
+from quillspark.llm import suffix_sort
+from quillspark.llm.suffix_sort import permuted_prefixes, suffix_array
 
 
 def brute(rows, length=50):
@@ -46,6 +47,8 @@ def made(seed):
 @pytest.mark.parametrize("unit_bytes", [1 << 24, 40_000])
 def test_digests_equal_brute_force(spark, monkeypatch, unit_bytes):
     monkeypatch.setattr(sd, "UNIT_BYTES", unit_bytes)
+    if unit_bytes < 1 << 20:
+        monkeypatch.setattr(sd, "BUCKET_SIZE", 1)  # as many buckets as for 10 TB
     rows = made(1)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, unit int")
     got = sorted((2**63 - 1 if r[0] is None else r[0], *r[1:]) for r in sd.digests(df).collect())
@@ -69,7 +72,29 @@ def test_without_repeats_keeps_columns_and_whole_characters(spark):
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_suffix_array(seed):
+def test_permuted_prefixes(seed):
+    rng = random.Random(seed)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 90))) for _ in range(20)]
+    strings += strings[:3] + [b"a" * 70]
+    data = np.frombuffer(b"\0".join(strings) + b"\0" * 64, np.uint8)
+    n = sum(map(len, strings)) + len(strings)
+    order = suffix_array(data[:n].astype(np.int16) + (data[:n] > 0), 257)
+    starts = np.zeros(len(data), bool)
+    for i in range(n):
+        starts[i] = 0 not in data[i : i + 20].tolist()
+    common = permuted_prefixes(data, order, starts, 20)
+    marked = order[starts[order]].tolist()
+    raw = data.tobytes()
+    want = dict.fromkeys(marked[:1], 0)
+    for i, j in zip(marked, marked[1:], strict=False):
+        want[j] = next((k for k in range(20) if raw[i + k] != raw[j + k]), 20)
+    assert {i: int(common[i]) for i in marked} == want and common.sum() == sum(want.values())
+
+
+@pytest.mark.parametrize("repeated", [0, 64])
+@pytest.mark.parametrize("seed", range(40))
+def test_suffix_array(seed, repeated, monkeypatch):
+    monkeypatch.setattr(suffix_sort, "REPEATED", repeated)
     rng = random.Random(seed)
     strings = [[rng.randint(1, rng.choice([2, 5])) for _ in range(rng.randint(1, 40))] for _ in range(rng.randint(1, 12))]
     if seed % 3 == 0:
