@@ -1,11 +1,14 @@
 """Near copies by verified Jaccard similarity of five-word shingles.
 
-Texts with equal sets of shingles are one node. Nodes that share a band of MinHash values may be near copies (a pair with a similarity of
-0.8 shares none with a probability of 5e-7); the families that such bands join are only candidates: within each, links are pairs whose
-sets have a Jaccard similarity of LEAST or more, computed on the sets themselves, and what links join is a group.
+Texts with equal sets of shingles are one node. Candidates come from two sides: the SimHash operator (fingerprints of the sets, buckets
+and pivot tables as in simhash) gives what differs in 4 bits or fewer, and MinHash bands give the rest, as a radius that reaches a
+similarity of 0.8 (10 bits of 64 on average, up to 18) has no exact buckets: a pair with a similarity of 0.8 shares no band with a
+probability of 5e-7. The families that both join are only candidates: within each, links are pairs whose sets have a Jaccard similarity of
+LEAST or more, computed on the sets themselves, and what links join is a group.
 
 Defined results: words and shingles are those of op3 at another length; a text of fewer words has one shingle, and null, empty and blank
-texts have none and are copies of each other. Rows with a null id are never dropped.
+texts have none and are copies of each other. Of each group one row stays: that with the least id (nulls last, then the least digest of its
+set, then any of equal rows); an id with several texts keeps those that are first in their groups.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import simhash
 from .common import blocks, cut, mix, tidied, utf8
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import majority, shingle_hashes
 
 WORDS, LEAST, BANDS, ROWS = 5, 0.8, 48, 6
 FACTORS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1) | np.uint64(1)
@@ -56,13 +61,14 @@ def digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, digest of the set, its bands."""
+    """doc_id, digest of the set, its fingerprint and its bands."""
     for part in blocks(batches):
         hashes, at = shingle_sets(*utf8(part.column("text")))
         some = np.diff(at) > 0
+        fp = majority(hashes, at)
         bands = band_keys(hashes, at[:-1][some]) if some.any() else np.zeros(0, np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(hashes, at)), lists], names=["doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(hashes, at)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "digest", "fp", "bands"])
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,35 +114,64 @@ def groups_of(sets: list[np.ndarray]) -> np.ndarray:
 
 @tidied
 def verified(rows: pa.Table) -> pa.Table:
-    """digest and component_id, the least doc_id of its group, of one candidate family."""
+    """digest and family, the least digest of its group, of the nodes of one candidate family."""
+    digest = rows.column("digest").to_numpy()
     group = groups_of([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()])
-    least: dict[int, int] = {}
-    for g, i in zip(group.tolist(), rows.column("least").to_pylist(), strict=True):
-        if i is not None:
-            least[g] = min(i, least.get(g, i))
-    return pa.table([rows.column("digest"), pa.array([least.get(g) for g in group.tolist()], pa.int64())], names=["digest", "component_id"])
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, digest)
+    return pa.table([pa.array(digest), pa.array(least[group])], names=["digest", "family"])
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and component_id, the least doc_id of its group."""
+def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, digest and family (the least digest of the group) of every row."""
     texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    marked = cut(texts.mapInArrow(sketches, "doc_id long, digest long, bands array<long>"))
-    nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    banded = marked.select("digest", F.explode("bands").alias("key"))
-    links = banded.withColumn("other", F.min("digest").over(Window.partitionBy("key"))).where("digest <> other")
+    marked = cut(texts.mapInArrow(sketches, "doc_id long, digest long, fp long, bands array<long>"))
+    # copies go before anything is dealt by a band
+    nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    close = simhash.families(cut(nodes.select("fp").distinct()))
+    marks = nodes.select("digest", "fp").join(close, F.col("fp") == F.col("node"), "left").select("digest", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    keyed = nodes.select("digest", F.explode("bands").alias("key")).unionByName(marks)
+    first = keyed.groupBy("key").agg(F.min("digest").alias("other"), F.count("*").alias("n")).where("n > 1").select("key", "other")
+    links = keyed.join(first, "key").where("digest <> other")
     family = components(links.select(F.col("digest").alias("u"), F.col("other").alias("v")))
     family = family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("of"), "root")
-    chosen = cut(nodes.join(family, F.col("digest") == F.col("of")).select("of", "root", "least"))
+    chosen = cut(nodes.select("digest", "least").join(family, F.col("digest") == F.col("of")).select("of", "root", "least"))
     # sets are made again rather than kept, and only those of one row of each candidate travel to its family
     again = texts.mapInArrow(sets, "doc_id long, digest long, hashes binary")
     members = again.join(chosen, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    found = members.select("root", "digest", "hashes", "least").groupBy("root").applyInArrow(verified, "digest long, component_id long")
-    found = found.groupBy("digest").agg(F.min("component_id").alias("component_id"))  # rows may be repeated
-    by_digest = nodes.select("digest", "least").join(found, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = members.select("root", "digest", "hashes").groupBy("root").applyInArrow(verified, "digest long, family long")
+    found = found.groupBy(F.col("digest").alias("of")).agg(F.min("family").alias("family"))  # rows may be repeated
+    return marked.select("doc_id", "digest").join(found, F.col("digest") == F.col("of"), "left").select("doc_id", "digest", F.coalesce("family", "digest").alias("family"))
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and component_id, the least doc_id of its group (its own if the group has none)."""
+    rows = cut(families(docs, doc_id, text))
+    least = rows.groupBy("family").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "family").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is their group's least."""
-    drop = near_copies(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped"))
-    return docs.join(drop, docs[doc_id] == drop["dropped"], "left_anti")
+    """The rows of docs, with all their columns, that are the first of their groups."""
+    rows = cut(families(docs, doc_id, text))
+    first = rows.groupBy("family").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "digest")).alias("first"))
+    stays = (F.col("digest") == F.col("first.digest")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    by_id = cut(rows.join(first, "family").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(stays.cast("int")).alias("first"), F.collect_set(F.when(stays, F.col("digest"))).alias("digests")))
+    ids = lambda which, name: by_id.where(which).select(F.col("doc_id").alias(name))
+    gone = ids("first = 0 OR n > 1", "__gone")
+    kept = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    if ids("first > 0 AND n > 1", "doc_id").isEmpty():
+        return kept
+    # ids with several rows, of which some stay: decided row by row
+    names = docs.columns
+    several = by_id.where("first > 0 AND n > 1").select(F.col("doc_id").alias("__id"), F.explode("digests").alias("__first"))
+    own = docs.join(several.select("__id").distinct(), docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests(*shingle_sets(*utf8(part.column(text)))))], names=[*names, "__digest"])
+
+    own = own.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("__digest", T.LongType())]))
+    own = own.join(several, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__first")))
+    nth = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(text))
+    return kept.unionByName(own.withColumn("__nth", nth).where("__nth = 1").select(*names))

@@ -5,7 +5,8 @@ in at most 4 bits agree wholly on all but 4 of the blocks that the bits are spli
 those blocks. In a bucket, every fingerprint has its Hamming distances to a table of reference fingerprints (pivots);
 by the triangle inequality a pair with any coordinate more than 4 apart can't be within 4 bits and is discarded; the
 others are verified. A bucket gives links that join its close fingerprints, not all its pairs: a fingerprint once
-reached isn't compared as a target again, so a family of near copies costs about its size.
+reached isn't compared as a target again, so a family of near copies costs about its size. A bucket of over LARGE fingerprints is cut
+by further blocks in the same way, so unrelated fingerprints that share a block aren't compared with each other either.
 
 Pivots alone would leave all pairs of the corpus to look at (a random pivot discards less than half of them), hence
 the buckets. The buckets' width follows the number of different fingerprints and changes no result.
@@ -59,8 +60,11 @@ def shingle_hashes(flat: np.ndarray, at: np.ndarray, words: int = WORDS) -> tupl
 
 
 def fingerprints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return majority(*shingle_hashes(flat, at))
+
+
+def majority(hashes: np.ndarray, h_at: np.ndarray) -> np.ndarray:
     """A bit is set if it is in over half of the text's shingle hashes."""
-    hashes, h_at = shingle_hashes(flat, at)
     n = np.diff(h_at)
     starts = np.unique(np.concatenate([h_at[:-1][n > 0], np.arange(0, len(hashes), 1 << 15)]))  # lanes hold 65535
     out = np.zeros(len(n), np.uint64)
@@ -118,8 +122,33 @@ def close_in_small(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (live, live)
 
 
-def close_in_large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that join all fingerprints of one group which close links connect: each is reached once."""
+def close_in_large(fp: np.ndarray, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that join all fingerprints of one group which close links connect. The bits in which the group differs are cut into
+    blocks of which close fingerprints have one in common, and rows meet within these: unrelated ones part, as in the buckets."""
+    free = [b for b in range(64) if int(np.bitwise_or.reduce(fp ^ fp[0])) >> b & 1]
+    if len(free) <= RADIUS:
+        return np.zeros(len(fp) - 1, np.int64), np.arange(1, len(fp))
+    left, right = [], []
+    for k in range(RADIUS + 1):
+        own = free[len(free) * k // (RADIUS + 1) : len(free) * (k + 1) // (RADIUS + 1)]
+        key = fp & np.uint64(sum(1 << b for b in own))
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        size = np.diff(np.append(first, len(key)))
+        small = order[np.repeat((size > 1) & (size <= LARGE), size)]
+        a, b = close_in_small(key[small], fp[small])
+        left.append(small[a])
+        right.append(small[b])
+        for j in np.flatnonzero(size > LARGE).tolist():
+            part = order[first[j] : first[j] + size[j]]
+            a, b = reach(fp[part]) if depth == DEPTH or 2 * len(part) > len(fp) else close_in_large(fp[part], depth + 1)
+            left.append(part[a])
+            right.append(part[b])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def reach(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a group that is close together: each is reached once."""
     table = pivot_table(fp)
     left, right = [], []
     rest = np.argsort(table[:, 0], kind="stable")  # not yet reached, in the first pivot's order
@@ -149,7 +178,8 @@ def close_in_large(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (rest, rest)
 
 
-LARGE = 256
+#: Groups that are searched at once, and how often larger ones are cut.
+LARGE, DEPTH = 256, 3
 
 
 def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,39 +202,39 @@ def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by key: links within each key. A key's rows may lie in several batches."""
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def links(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(key):
-            u, v = links_of(key, fp)
+    def links(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            u, v = links_of(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     for batch in batches:
-        key = np.concatenate([key, batch.column("key").to_numpy()])
-        fp = np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
-        if len(key) and key[0] != key[-1]:
-            done = int(np.searchsorted(key, key[-1]))
-            yield from links(key[:done], fp[:done])
-            key, fp = key[done:], fp[done:]
-    yield from links(key, fp)
+        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        if not len(key):
+            continue
+        done = int(np.searchsorted(key, key[-1]))
+        if done or (held and held[-1][0][-1] != key[0]):
+            yield from links([*held, (key[:done], fp[:done])] if done else held)
+            held = []
+        held.append((key[done:], fp[done:]))
+    yield from links(held)
+
+
+def families(nodes: DataFrame) -> DataFrame:
+    """nodes: different fingerprints fp. Returns (node, root) of those that links of RADIUS bits or fewer join to another one."""
+    masks = bucket_masks(nodes.count())
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(masks)])
+    buckets = nodes.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
+    return components(buckets.mapInArrow(bucket_links, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links of RADIUS bits or fewer)."""
     marked = cut(fingerprint(docs, doc_id, text))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    masks = bucket_masks(nodes.count())
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(masks)])
-    buckets = nodes.select("fp", F.explode(keys).alias("key")).repartition("key").sortWithinPartitions("key")
-    found = components(buckets.mapInArrow(bucket_links, "u long, v long"))
-    joined = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = cut(joined)
+    found = families(nodes)
+    joined = cut(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     of_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = joined.join(of_root, "root").select(F.col("fp").alias("of"), "component_id")
     return marked.join(by_fp, marked["fp"] == by_fp["of"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is their component's id."""
-    drop = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped"))
-    return docs.join(drop, docs[doc_id] == drop["dropped"], "left_anti")

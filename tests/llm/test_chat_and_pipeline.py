@@ -11,7 +11,7 @@ import __spark_entry__
 import corpus_pipeline
 from quillspark.llm import chat, language_id
 
-from . import test_decontamination, test_simhash
+from . import test_decontamination, test_near_copies
 
 TURNS = [
     (1, 0, "system", "be kind"), (1, 1, "Ann", "hi"), (1, 2, "Bob", "hé"), (1, 2, "Bob", "hé"), (1, 200, "Cy", None), (1, None, "Ann", "before"), (2, 0, "system", "alone"), (3, 0, None, "who"), (3, 1, "", "who"), (3, 2, "Ann", ""),
@@ -83,7 +83,7 @@ def test_pipeline_equals_brute_force(spark, fixture_dir):
     said = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
     rows = [(d, t) for d, t in rows if said[d]["lang_pred"] != "und" and not (said[d]["ambiguous"] and said[d]["score"] < 0.5)]
     assert not {9001, 9002, 9003} & {d for d, _ in rows} and len(rows) > 190
-    component = test_simhash.brute_components([(d, test_simhash.brute_fingerprint(t)) for d, t in rows])
+    component = test_near_copies.brute(rows)
     rows = [(d, t) for d, t in rows if component[d] == d]
     first, left = {}, []
     for d, t in sorted(rows):

@@ -48,3 +48,13 @@ def test_stage_equals_brute_force(spark):
     kept = corpus_pipeline.one_of_near_copies(spark, df, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
     assert near_copies.near_copies(df.where("false")).collect() == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated rows, null ids, and an id with two texts of which one copies a smaller id."""
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(1, say("a")), (1, say("a")), (2, say("b")), (3, say("a")), (3, say("c")), (None, say("a")), (None, say("d")), (None, say("d") + " more"), (None, None), (5, ""), (6, say("e")), (6, say("f"))]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, digest int")
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:2]) for r in near_copies.one_of_each(df).collect())
+    assert kept == [("1", "aw"), ("2", "bw"), ("3", "cw"), ("5", ""), ("6", "ew"), ("6", "fw"), ("None", "dw")]
+    assert near_copies.one_of_each(df).schema == df.schema and near_copies.one_of_each(df.where("false")).collect() == []
