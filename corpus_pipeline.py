@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontamination, language_id, near_copies, packing, suffix_dedup
-from quillspark.llm.common import scratch_dir, table
+from quillspark.llm.common import delete, scratch_dir, table
 
 
 def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def spoken(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of a Jaccard similarity of 0.8 or more over five-word shingles join, that with the least id."""
+    """Of documents that links of a Jaccard similarity of 0.8 or more over five-word shingles join, that with the least id; candidates
+    come from the SimHash operator and, for what differs in more bits than it reaches, from MinHash bands."""
     return near_copies.one_of_each(docs)
 
 
@@ -47,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{scratch_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    """Each stage's rows are written and read again; the folder of a stage goes when the next one is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{scratch_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(out)
+        if before:
+            delete(spark, before)
+        before = out
     return docs
