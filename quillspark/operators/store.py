@@ -1,12 +1,15 @@
-"""The document store: nodes, links and chunks as partitioned Parquet, rewritten by whole versions.
+"""The document store: nodes, links and chunks as partitioned Parquet, kept as a base and small changes to it.
 
-Every write makes a new version folder and then moves one small pointer file, so readers see the old state or the new one.
+A change is a folder with new rows and with the paths whose older rows it takes away, so an update writes what is new and nothing else.
+After MOST_CHANGES of them the next write compacts all to a new base. A state is a numbered pointer file that lists its folders; it is
+renamed into place, never overwritten, and readers take the one with the greatest number: they see the old state or the new one.
 Chunks are partitioned by layer (the first segment of their path), which turns prefix filters into partition pruning.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,8 @@ from .vector import reuse_vectors
 CHUNKS = "id string, path string, start_line int, end_line int, text string, embedding array<float>, metadata map<string,string>, layer string"
 NODES = "path string, st_mtime double, name string, description string, fields map<string,string>, chunk_ids array<string>"
 LINKS = "source_path string, target_path string, target_anchor string, idx int"
+#: Changes that a state has at most.
+MOST_CHANGES = 16
 TABLES = {"chunks": CHUNKS, "nodes": NODES, "links": LINKS}
 
 
@@ -59,59 +64,101 @@ def upserted(tables: dict[str, DataFrame], new: dict[str, DataFrame], dim: int |
 
 
 class Store:
-    """Tables under a folder. Writers are expected to take turns."""
+    """Tables under a folder. Writers are expected to take turns; a second one at the same time fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self):
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(self.path)
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop.Path
+
+    def _pointers(self) -> list[str]:
+        fs, path = self._fs()
+        found = fs.globStatus(path(f"{self.path}/state-*"))
+        return sorted(f.getPath().getName() for f in found) if found else []
+
     def version(self) -> str | None:
         """The name of the state that readers see."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return None
-        stream = fs.open(folder)
+        return (self._pointers() or [None])[-1]
+
+    def folders(self) -> list[str]:
+        """The state's base and changes, in order."""
+        name = self.version()
+        if name is None:
+            return []
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/{name}"))
         try:
-            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
         finally:
             stream.close()
 
-    def point_to(self, version: str) -> None:
-        jvm = self.spark._jvm
-        new, old = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}") for name in (f".current-{version}", "current"))
-        fs = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def point_to(self, folders: list[str]) -> str:
+        fs, path = self._fs()
+        before = self._pointers()
+        name = f"state-{int(before[-1][6:]) + 1 if before else 0:012d}"
+        new = path(f"{self.path}/.{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(version.encode())
+        out.write(" ".join(folders).encode())
         out.close()
-        self._swap(fs, new, old)
-
-    @staticmethod
-    def _swap(fs, new, old) -> None:
-        if not fs.rename(new, old):
-            fs.delete(old, False)
-            fs.rename(new, old)
+        if fs.exists(path(f"{self.path}/{name}")) or not fs.rename(new, path(f"{self.path}/{name}")):
+            raise RuntimeError(f"another writer has made {name} of {self.path}")
+        for old in before[:-1]:  # readers may have the last one in hand
+            fs.delete(path(f"{self.path}/{old}"), False)
+        return name
 
     def read(self) -> dict[str, DataFrame]:
-        version = self.version()
-        if version is None:
+        folders = self.folders()
+        if not folders:
             return {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}
-        return {name: self.spark.read.schema(schema).parquet(f"{self.path}/{version}/{name}") for name, schema in TABLES.items()}
+        load = lambda folder, name, schema: self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{name}")
+        if len(folders) == 1:
+            return {name: load(folders[0], name, schema) for name, schema in TABLES.items()}
+        gone = reduce(DataFrame.unionByName, [load(f, "gone", "path string").withColumn("at", F.lit(k)) for k, f in enumerate(folders) if k])
+        gone = gone.groupBy(F.col("path").alias("gone_path")).agg(F.max("at").alias("gone_at"))
+        out = {}
+        for name, schema in TABLES.items():
+            key = "source_path" if name == "links" else "path"
+            rows = reduce(DataFrame.unionByName, [load(f, name, schema).withColumn("at", F.lit(k)) for k, f in enumerate(folders)])
+            out[name] = rows.join(gone, (F.col(key) == F.col("gone_path")) & (F.col("gone_at") > F.col("at")), "left_anti").drop("at")
+        return out
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        version = uuid.uuid4().hex
+    def _save(self, tables: dict[str, DataFrame]) -> str:
+        folder = uuid.uuid4().hex
         for name, schema in TABLES.items():
             columns = [c.split()[0] for c in schema.split(", ")]
             writer = tables[name].select(*columns).write
-            (writer.partitionBy("layer") if name == "chunks" else writer).parquet(f"{self.path}/{version}/{name}")
-        self.point_to(version)
-        return version
+            (writer.partitionBy("layer") if name == "chunks" else writer).parquet(f"{self.path}/{folder}/{name}")
+        return folder
+
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """A new base."""
+        return self.point_to([self._save(tables)])
+
+    def change(self, gone: DataFrame, new: dict[str, DataFrame] | None = None, dim: int | None = None) -> str:
+        """Takes away what the paths in `gone` have, and adds new tables; vectors of unchanged chunks stay where dim is given."""
+        folders = self.folders()
+        if not folders or len(folders) > MOST_CHANGES:
+            folders = [self._save(self.read())]
+        if new is None:
+            new = {name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+        if dim is not None:
+            new = {**new, "chunks": reuse_vectors(new["chunks"], self.read()["chunks"], dim)}
+        folder = self._save(new)
+        gone.select("path").distinct().write.parquet(f"{self.path}/{folder}/gone")
+        return self.point_to([*folders, folder])
+
+    def compact(self) -> str:
+        """The same rows as one base."""
+        return self.write(self.read())
 
     def upsert(self, files: DataFrame, dim: int | None = None) -> str:
-        return self.write(upserted(self.read(), build(files), dim))
+        return self.change(files, build(files), dim)
 
     def delete(self, paths: DataFrame) -> str:
-        return self.write(without(self.read(), paths))
+        return self.change(paths)
 
     def clear(self) -> str:
         return self.write({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()})

@@ -46,14 +46,24 @@ def matches(path: X.Col, some: Iterable[Rule]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True, content: bool = True) -> DataFrame:
-    """path (relative to root), mtime, length, content. Without content only the listing is read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(root)
+def scan(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True, content: bool = True, paths: Iterable[str] | None = None) -> DataFrame:
+    """path (relative to root), mtime, length, content. Without content only the listing is read. paths: only these files (relative) are opened;
+    one that is no longer there is left out."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob)
+    if paths is None:
+        df = reader.load(root)
+    else:
+        # a name may hold what a glob takes for a pattern; and a pattern may match nothing, where a plain path must exist
+        df = reader.option("ignoreMissingFiles", "true").load([f"{root.rstrip('/')}/{plain_glob(p)}" for p in paths])
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z0-9]+:/*", "/")
     path = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
     return df.select(F.substring(path, F.length(base) + 2, F.length(path)).alias("path"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "length", *(["content"] if content else []))
 
 
+def plain_glob(path: str) -> str:
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+
+
 def texts(files: DataFrame, most: int | None = None) -> DataFrame:
     """path, st_mtime, text, encoding of scanned files; those over `most` bytes are left out."""
     rows = files if most is None else files.where(F.col("length") <= most)

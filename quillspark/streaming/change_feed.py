@@ -1,7 +1,8 @@
 """Following a workspace: a first diff against the store, and then micro-batches.
 
-A file source tells of new files only. So the stream is the clock and the hint: every batch lists the folder and takes the difference to
-what the store has, which finds changed and deleted files too, and does nothing twice when a batch is run again.
+A file source tells of new files only. So the stream is nothing but a clock, with one row a batch: every batch lists the folder and takes
+the difference to what the store has, which finds new, changed and deleted files alike, and does nothing twice when a batch is
+run again. A batch opens the files that are new or changed, and writes these as a change of the store.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..operators.store import Store, build, upserted, without
 from ..sources import files as S
 
 LIMIT = 20 << 20
+#: Files that a batch opens by their names; beyond, most of a folder is new, and it is scanned as a whole.
+BY_NAME = 10_000
 
 
 def sync(store: Store, root: str, rules: Iterable[S.Rule] = (), most: int = LIMIT, dim: int | None = None) -> dict[str, int]:
@@ -27,30 +30,39 @@ def sync(store: Store, root: str, rules: Iterable[S.Rule] = (), most: int = LIMI
     found = S.scan(spark, root, content=False)
     found = found.where(S.matches("path", list(rules))) if rules else found
     small, large = changes.by_size(found, most)
-    tables = store.read()
-    diff = changes.diff(small, tables["nodes"].select("path", F.col("st_mtime").alias("mtime"))).cache()
-    counts = {r["change"]: r["n"] for r in changes.buckets(diff).collect()}
-    if counts:
-        wanted = diff.where("change <> 'deleted'").select("path")
-        fresh = S.texts(S.scan(spark, root).join(wanted, "path", "left_semi")) if counts.keys() - {"deleted"} else None
-        kept = without(tables, diff.where("change = 'deleted'"))
-        store.write(upserted(kept, build(fresh), dim) if fresh is not None else kept)
-    diff.unpersist()
+    indexed = store.read()["nodes"].select("path", F.col("st_mtime").alias("mtime"))
+    diff = changes.diff(small, indexed).persist()
+    try:
+        counts = {r["change"]: r["n"] for r in changes.buckets(diff).collect()}
+        wanted, n = diff.where("change <> 'deleted'").select("path"), counts.get("added", 0) + counts.get("modified", 0)
+        if n > BY_NAME:
+            store.change(diff, build(S.texts(S.scan(spark, root).join(wanted, "path", "left_semi"))), dim)
+        elif n:
+            store.change(diff, build(S.texts(S.scan(spark, root, paths=[r["path"] for r in wanted.collect()]))), dim)
+        elif counts:
+            store.change(diff)
+    finally:
+        diff.unpersist()
     return {k: counts.get(k, 0) for k in changes.KINDS}
 
 
-def follow(store: Store, root: str, checkpoint: str, rules: Iterable[S.Rule] = (), seconds: float | None = 5, files_per_batch: int = 100, told: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
-    """A stream that keeps the store in step with the folder. seconds None: what is there now, and then it ends."""
-    spark = store.spark
-    feed = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(root)
+def reindex(store: Store, root: str, rules: Iterable[S.Rule] = (), most: int = LIMIT) -> dict[str, int]:
+    """Clears the store and fills it from the folder."""
+    store.clear()
+    return sync(store, root, rules, most)
+
+
+def follow(store: Store, root: str, checkpoint: str, rules: Iterable[S.Rule] = (), seconds: float | None = 5, told: Callable[[int, dict[str, int]], None] | None = None, most: int = LIMIT) -> StreamingQuery:
+    """A stream that keeps the store in step with the folder: a look every so many seconds. None: one look, and then it ends."""
+    clock = store.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
 
     def step(batch: DataFrame, epoch: int) -> None:
-        counts = sync(store, root, rules)
+        counts = sync(store, root, rules, most)
         if told:
             told(epoch, counts)
 
-    writer = feed.select("path").writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+    writer = clock.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
 def apply_events(events: DataFrame, existing: Callable[[], DataFrame], act: Callable[[DataFrame, int], None], checkpoint: str, seconds: float | None = 5) -> StreamingQuery:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,77 @@ def test_follow_a_folder(spark, workspace, tmp_path):
     assert told[-1] == {"added": 1, "modified": 0, "deleted": 1}
 
 
+def until(holds, seconds=90):
+    end = time.monotonic() + seconds
+    while not holds():
+        assert time.monotonic() < end
+        time.sleep(0.3)
+
+
+def test_a_live_stream_sees_edits_and_deletions(spark, workspace, tmp_path):
+    """A rewrite, a deletion, and then both and a new file at about the same time, while the stream runs."""
+    store, told = Store(spark, str(tmp_path / "store")), []
+    query = change_feed.follow(store, str(workspace), str(tmp_path / "check"), RULES, seconds=1, told=lambda e, c: told.append(c))
+    some = lambda: [c for c in told if any(c.values())]
+    texts = lambda: " ".join(r["text"] for r in store.read()["chunks"].collect())
+    try:
+        until(lambda: len(some()) == 1)
+        assert some()[0] == {"added": 3, "modified": 0, "deleted": 0}
+        put(workspace, "daily/a.md", "rewritten [1]")
+        until(lambda: len(some()) == 2)
+        assert some()[1] == {"added": 0, "modified": 1, "deleted": 0} and "rewritten" in texts() and "about a" not in texts()
+        (workspace / "daily/b.md").unlink()
+        until(lambda: len(some()) == 3)
+        assert some()[2] == {"added": 0, "modified": 0, "deleted": 1} and paths(store.read()["nodes"]) == ["daily/a.md", "session/dialog/s.jsonl"]
+        put(workspace, "daily/a.md", "third")
+        put(workspace, "daily/new [x].md", "named oddly")
+        (workspace / "session/dialog/s.jsonl").unlink()
+        until(lambda: sum(sum(c.values()) for c in some()[3:]) == 3)
+        assert paths(store.read()["nodes"]) == ["daily/a.md", "daily/new [x].md"] and sorted(texts().split()) == ["named", "oddly", "third"]
+    finally:
+        query.stop()
+    assert len(store.folders()) >= 3
+
+
+def test_only_wanted_files_are_opened(spark, workspace, tmp_path, monkeypatch):
+    store, opened = Store(spark, str(tmp_path / "store")), []
+    change_feed.sync(store, str(workspace), RULES)
+    real = files.scan
+    monkeypatch.setattr(files, "scan", lambda *a, **k: (opened.append(k), real(*a, **k))[1])
+    put(workspace, "daily/a{1}.md", "x")
+    assert change_feed.sync(store, str(workspace), RULES)["added"] == 1
+    assert [k.get("paths") for k in opened if k.get("content", True)] == [["daily/a{1}.md"]]
+    assert store.read()["nodes"].where("path = 'daily/a{1}.md'").count() == 1
+    monkeypatch.setattr(change_feed, "BY_NAME", 0)
+    put(workspace, "daily/z.md", "z")
+    assert change_feed.sync(store, str(workspace), RULES)["added"] == 1 and "daily/z.md" in paths(store.read()["nodes"])
+    assert change_feed.reindex(store, str(workspace), RULES)["added"] == 5
+
+
+def test_changes_are_compacted(spark, tmp_path, monkeypatch):
+    from quillspark.operators import store as module
+
+    monkeypatch.setattr(module, "MOST_CHANGES", 3)
+    store = Store(spark, str(tmp_path / "store"))
+    file = lambda path, text, at: spark.createDataFrame([(path, at, text)], "path string, st_mtime double, text string")
+    for k in range(8):
+        store.upsert(file(f"n/{k % 3}.md", f"text {k} [[n/{k}.md]]", float(k)))
+        assert len(store.folders()) <= 5
+    store.delete(file("n/1.md", "", 0.0))
+    want = {"n/0.md": 6.0, "n/2.md": 5.0}
+    for _ in range(2):
+        tables = store.read()
+        assert {r["path"]: r["st_mtime"] for r in tables["nodes"].collect()} == want
+        assert sorted(r["target_path"] for r in tables["links"].collect()) == ["n/5.md", "n/6.md"] and tables["chunks"].count() == 2
+        before = store.version()
+        store.compact()
+        assert len(store.folders()) == 1 and store.version() > before
+    with pytest.raises(RuntimeError):
+        monkeypatch.setattr(Store, "_pointers", lambda self: [])
+        put(tmp_path, "store/state-000000000000", "x")
+        store.write(store.read())
+
+
 def test_events_are_coalesced_to_what_is_there(spark, tmp_path):
     put(tmp_path, "in/1.json", "\n".join(json.dumps({"path": p, "change": c}) for p, c in [("a", "deleted"), ("a", "added"), ("b", "added"), ("x", "modified")]))
     events = spark.readStream.schema("path string, change string").json(str(tmp_path / "in"))
