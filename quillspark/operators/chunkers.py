@@ -223,15 +223,8 @@ def by_json(text: str, most: int = 2000) -> list[Piece]:
 
 
 def loose_lines(text: str, most: int) -> list[Piece]:
-    if len(text) <= most:
-        return [(1, text.count("\n") + 1, text)]
-    out: list[list] = [[1, 1, ""]]
-    for i, line in enumerate(text.split("\n"), 1):
-        line = line if i > text.count("\n") else line + "\n"
-        if len(out[-1][2]) + len(line) > most:
-            out.append([i, i, ""])
-        out[-1][1:] = [i, out[-1][2] + line]
-    return [tuple(x) for x in out]
+    own = framed(text)
+    return [(a + 1, b, "".join(own[a:b])) for a, b in line_windows([len(x) for x in own], most)]
 
 
 # -- Markdown ----------------------------------------------------------------
@@ -246,47 +239,15 @@ DELIMITER = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?
 
 @dataclass
 class Block:
-    """A heading's section, or one block of text (paragraph, code, table, list, quote)."""
+    """A heading (level over 0), or one paragraph, code block, table, list or quote."""
 
-    kind: str
     first: int
     last: int
-    text: str = ""
+    text: str
     level: int = 0
-    title: str = ""
     parts: list[tuple[int, int, str]] = field(default_factory=list)  # units that a long block splits into
-    wrap: tuple[str, str] = ("", "")
-    under: list[Block] = field(default_factory=list)
-
-    def heading(self) -> str:
-        return f"{'#' * self.level} {self.title}" if self.kind == "section" else ""
-
-    def whole(self) -> str:
-        return together(self.heading(), self.text)
-
-
-def together(*parts: str) -> str:
-    return "\n\n".join(p for p in parts if p)
-
-
-def heading_count(text: str, most: int | None = None) -> int:
-    """Headings outside of fences; counting ends once there are more than `most`."""
-    count, fence, before = 0, None, False
-    for line in text.split("\n"):
-        line = line.removesuffix("\r")
-        if m := FENCE.match(line):
-            if fence is None:
-                fence = m[2]
-            elif m[2][0] == fence[0] and len(m[2]) >= len(fence) and not m[3].strip():
-                fence = None
-            before = False
-        elif fence is None:
-            head = bool(re.match(r" {0,3}#{1,6}(?:[ \t]+|$)", line)) or (before and bool(UNDERLINE.match(line)))
-            count += head
-            if most is not None and count > most:
-                return count
-            before = bool(line.strip()) and not head
-    return count
+    wrap: tuple[str, str] = ("", "")  # what each of its splits is put into
+    blank_parts: bool = False  # whether empty units are text too
 
 
 class MarkdownReader:
@@ -309,13 +270,13 @@ class MarkdownReader:
             if not line.strip():
                 i += 1
             elif m := ATX.match(line):
-                yield Block("heading", self.number(i), self.number(i), level=len(m[1]), title=(m[2] or "").strip())
+                yield self.heading(i, i, len(m[1]), (m[2] or "").strip())
                 i += 1
             elif m := FENCE.match(line):
                 i, block = self.code(i, m)
                 yield block
             elif RULE.match(line) and not UNDERLINE.match(line):
-                yield Block("text", self.number(i), self.number(i), line, parts=[(self.number(i), self.number(i), line)])
+                yield self.text_block(i, i + 1)
                 i += 1
             elif ITEM.match(line):
                 i, block = self.items(i)
@@ -327,8 +288,11 @@ class MarkdownReader:
                 i, block = self.paragraph(i)
                 yield block
 
-    def text_block(self, kind: str, a: int, b: int) -> Block:
-        return Block(kind, self.number(a), self.number(b - 1), "\n".join(self.lines[a:b]), parts=[(self.number(i), self.number(i), self.lines[i]) for i in range(a, b)])
+    def heading(self, a: int, b: int, level: int, title: str) -> Block:
+        return Block(self.number(a), self.number(b), f"{'#' * level} {title}", level)
+
+    def text_block(self, a: int, b: int) -> Block:
+        return Block(self.number(a), self.number(b - 1), "\n".join(self.lines[a:b]), parts=[(self.number(i), self.number(i), self.lines[i]) for i in range(a, b)])
 
     def code(self, i: int, m: re.Match) -> tuple[int, Block]:
         end, n = i + 1, len(self.lines)
@@ -340,7 +304,7 @@ class MarkdownReader:
         while inner and not closed and not inner[-1]:
             inner.pop()
         fence = m[1] + m[2]
-        block = Block("code", self.number(i), self.number(end if closed else i + len(inner)), "\n".join([self.lines[i], *inner, fence]), wrap=(self.lines[i] + "\n", "\n" + fence))
+        block = Block(self.number(i), self.number(end if closed else i + len(inner)), "\n".join([self.lines[i], *inner, fence]), wrap=(self.lines[i] + "\n", "\n" + fence), blank_parts=True)
         block.parts = [(self.number(i + 1 + k), self.number(i + 1 + k), x) for k, x in enumerate(inner)]
         return end + closed, block
 
@@ -348,7 +312,7 @@ class MarkdownReader:
         end = i + 2
         while end < len(self.lines) and self.lines[end].strip() and not self.begins_block(end):
             end += 1
-        block = self.text_block("table", i, end)
+        block = self.text_block(i, end)
         block.wrap = ("\n".join(self.lines[i : i + 2]) + "\n", "")
         block.parts = block.parts[2:]
         return end, block
@@ -372,7 +336,7 @@ class MarkdownReader:
             end += 1
         while not self.lines[end - 1].strip():
             end -= 1
-        block = self.text_block("list", i, end)
+        block = self.text_block(i, end)
         block.parts = []
         for a, b in zip(starts, [*starts[1:], end], strict=True):
             while not self.lines[b - 1].strip():
@@ -385,117 +349,98 @@ class MarkdownReader:
         while end < len(self.lines) and self.lines[end].strip():
             if (m := UNDERLINE.match(self.lines[end])) and not self.lines[i].lstrip().startswith(">"):
                 title = " ".join(x.strip() for x in self.lines[i:end]) if end - i == 1 else self.lines[i].strip()
-                return end + 1, Block("heading", self.number(i), self.number(end), level=1 if m[1][0] == "=" else 2, title=title)
+                return end + 1, self.heading(i, end, 1 if m[1][0] == "=" else 2, title)
             if self.begins_block(end) or (ITEM.match(self.lines[end]) and not re.match(r" {0,3}\d", self.lines[end])):
                 break
             end += 1
-        return end, self.text_block("text", i, end)
-
-
-def section_tree(text: str, offset: int) -> Block:
-    """Sections nest by their headings' levels; other blocks belong to the section that is open."""
-    root = Block("root", offset + 1, offset + 1)
-    stack = [root]
-    for block in MarkdownReader(text, offset).blocks():
-        if block.kind == "heading":
-            while len(stack) > 1 and stack[-1].level >= block.level:
-                stack.pop()
-            section = Block("section", block.first, block.first, level=block.level, title=block.title)
-            stack[-1].under.append(section)
-            stack.append(section)
-        elif block.text:
-            stack[-1].under.append(block)
-    close(root)
-    return root
-
-
-def close(node: Block) -> None:
-    for child in node.under:
-        if child.kind == "section":
-            close(child)
-    if node.under:
-        node.text = together(*(c.whole() for c in node.under))
-        node.first = min(node.first, node.under[0].first) if node.kind == "section" else node.under[0].first
-        node.last = max(c.last for c in node.under)
-
-
-class MarkdownPacker:
-    def __init__(self, size: int, breadcrumbs: bool):
-        self.size, self.breadcrumbs = size, breadcrumbs
-
-    def fits(self, text: str) -> bool:
-        return len(text.encode()) <= self.size
-
-    def headed(self, above: tuple[str, ...], text: str) -> str:
-        """The text under as many of the nearest headings above it as fit."""
-        for k in range(len(above) if self.breadcrumbs else 0):
-            if self.fits(tried := together(*above[k:], text)):
-                return tried
-        return text
-
-    def chunks(self, node: Block, above: tuple[str, ...] = ()) -> list[Piece]:
-        whole = node.whole()
-        full = together(*above, whole) if self.breadcrumbs else whole
-        if whole and (self.fits(full) or self.fits(self.headed(above, whole))):
-            return [(node.first, node.last, self.headed(above, whole))]
-        if node.kind not in ("root", "section"):
-            return self.split(node, above)
-        out: list[Piece] = []
-        own: list | None = None
-        inner = (*above, node.heading()) if node.heading() else above
-
-        def flush() -> None:
-            nonlocal own
-            if own:
-                out.append(tuple(own))
-            own = None
-
-        def add(first: int, last: int, text: str, crumbs: tuple[str, ...]) -> None:
-            nonlocal own
-            if own and self.fits(tried := together(own[2], text)):
-                own[1:] = [last, tried]
-            else:
-                flush()
-                own = [first, last, self.headed(crumbs, text)]
-            if len(own[2].encode()) >= self.size:
-                flush()
-
-        if node.heading():
-            add(node.first, node.first, node.heading(), above)
-        for child in node.under:
-            if self.fits(child.whole()):
-                add(child.first, child.last, child.whole(), inner)
-            else:
-                flush()
-                out += self.chunks(child, inner)
-        flush()
-        return out
-
-    def split(self, block: Block, above: tuple[str, ...]) -> list[Piece]:
-        """A long block in parts that repeat its frame (a table's head, a code's fence) and tell their number."""
-        before, after = block.wrap
-        keep_empty = block.kind == "code"
-        units = [u for u in block.parts if u[2] or keep_empty]
-        room = self.size - len((before + after).encode())
-        if self.breadcrumbs and above:
-            room -= len(together(*above, "x").encode()) - 1
-        if len(block.parts) > 1:
-            room -= len(f"[Part {len(block.parts)}/{len(block.parts)}]\n\n")
-        groups: list[list[tuple[int, int, str]]] = []
-        used = 0
-        for unit in units:
-            n = len(unit[2].encode())
-            if groups and groups[-1] and used + 1 + n <= room:
-                groups[-1].append(unit)
-                used += 1 + n
+        return end, self.text_block(i, end)
+
+
+GAP = "\n\n"
+
+
+class Outline:
+    """Blocks in a row, as an outline: a heading's section runs to the next heading that isn't deeper. What a range of blocks takes comes
+    from prefix sums, so no text is put together before it is cut."""
+
+    def __init__(self, blocks: list[Block], size: int, breadcrumbs: bool):
+        self.blocks, self.size = blocks, size
+        self.upto = [0]
+        for b in blocks:
+            self.upto.append(self.upto[-1] + len(b.text.encode()) + len(GAP))
+        self.end, self.above = [i + 1 for i in range(len(blocks))], []
+        open_: list[int] = []
+        for i, b in enumerate(blocks):
+            while b.level and open_ and blocks[open_[-1]].level >= b.level:
+                self.end[open_.pop()] = i
+            self.above.append(tuple(open_) if breadcrumbs else ())
+            if b.level:
+                open_.append(i)
+        for i in open_:
+            self.end[i] = len(blocks)
+
+    def bytes(self, a: int, b: int) -> int:
+        return self.upto[b] - self.upto[a] - len(GAP)
+
+    def crumbs(self, i: int, n: int) -> tuple[int, ...]:
+        """As many of the nearest headings over block i as fit before n bytes."""
+        above = self.above[i]
+        while above and n + sum(self.upto[k + 1] - self.upto[k] for k in above) > self.size:
+            above = above[1:]
+        return above
+
+    def ranges(self) -> Iterator[tuple[int, int]]:
+        """Cuts the row into ranges. A section that fits stays whole, and neighbours share a range as long as they fit under the first one's
+        crumbs. A section that doesn't fit is entered: its heading begins a range, and no range reaches beyond its end. A block that doesn't
+        fit is a range that is too long."""
+        a = b = 0  # the open range
+        walls = [len(self.blocks)]
+        i = 0
+        while i < len(self.blocks):
+            end = self.end[i]
+            while i >= walls[-1]:
+                walls.pop()
+                if a < b:
+                    yield a, b
+                a = b = i
+            whole = self.bytes(i, end) <= self.size
+            upto = end if whole else i + 1
+            room = self.size - sum(self.upto[k + 1] - self.upto[k] for k in self.crumbs(a, self.bytes(a, b))) if a < b else 0
+            joins = whole and a < b and self.bytes(a, upto) <= room
+            if not joins:
+                if a < b:
+                    yield a, b
+                a = i
+            b = upto
+            if not whole and end > i + 1:
+                walls.append(end)
+            i = upto
+        if a < b:
+            yield a, b
+
+    def pieces(self) -> Iterator[Piece]:
+        for a, b in self.ranges():
+            own = self.blocks[a:b]
+            if b == a + 1 and self.bytes(a, b) > self.size and own[0].parts:
+                yield from self.split(a)
             else:
-                groups.append([unit])
-                used = n
-        out = []
-        for k, own in enumerate(groups, 1):
-            body = before + "\n".join(t for _, _, t in own) + after
-            out.append((own[0][0], own[-1][1], self.headed(above, f"[Part {k}/{len(groups)}]\n\n{body}" if len(groups) > 1 else body)))
-        return out
+                lead = [self.blocks[k].text for k in self.crumbs(a, self.bytes(a, b))]
+                yield own[0].first, own[-1].last, GAP.join([*lead, *(x.text for x in own)])
+
+    def split(self, i: int) -> Iterator[Piece]:
+        """A long block in parts that repeat its frame (a table's head, a code's fence) and tell their number. A unit that is too long for a
+        part is one by itself."""
+        block = self.blocks[i]
+        units = [u for u in block.parts if u[2] or block.blank_parts]
+        sizes = [len(t.encode()) + 1 for _, _, t in units]
+        label = "[Part {}/{}]" + GAP
+        frame = len("".join(block.wrap).encode()) + (len(label.format(len(units), len(units))) if len(units) > 1 else 0)
+        lead = self.crumbs(i, frame + min(max(sizes, default=0), self.size // 2))
+        room = self.size - frame - sum(self.upto[k + 1] - self.upto[k] for k in lead)
+        cuts = line_windows(sizes, room + 1)
+        for k, (a, b) in enumerate(cuts, 1):
+            body = block.wrap[0] + "\n".join(t for _, _, t in units[a:b]) + block.wrap[1]
+            yield units[a][0], units[b - 1][1], GAP.join([*(self.blocks[j].text for j in lead), (label.format(k, len(cuts)) if len(cuts) > 1 else "") + body])
 
 
 def by_markdown(text: str, size: int = 10_000, overlap: int = 100, breadcrumbs: bool = True, most_headings: int | None = 100) -> list[Piece]:
@@ -504,9 +449,10 @@ def by_markdown(text: str, size: int = 10_000, overlap: int = 100, breadcrumbs:
     _, body, offset = front_matter_of(text)
     if not body.strip():
         return []
-    if most_headings is not None and heading_count(body, max(0, most_headings)) > max(0, most_headings):
+    blocks = [b for b in MarkdownReader(body, offset).blocks() if b.text]
+    if most_headings is not None and sum(b.level > 0 for b in blocks) > max(0, most_headings):
         return [(a + offset, b + offset, t) for a, b, t in by_bytes(body, size, overlap)]
-    return MarkdownPacker(size, breadcrumbs).chunks(section_tree(body, offset))
+    return list(Outline(blocks, size, breadcrumbs).pieces())
 
 
 def by_default(text: str, path: str = "", size: int = 10_000, overlap: int = 100) -> list[Piece]:
