@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -128,21 +129,27 @@ def normal_path(path: Col) -> Column:
     return F.concat(F.when(col(path).startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(walked, "/"))
 
 
-RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))]
+#: Names of devices, which some file systems keep for themselves whatever the extension.
+DEVICES = ["CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))]
+#: Characters that some file systems don't allow in names.
+FORBIDDEN = '<>:"/\\|?*'
 
 
 def name_error(name: Col, kind: str = "filename") -> Column:
-    """What is wrong with a file name, or null."""
+    """The first rule of portable file names that a name breaks, or null: there is one, it is no step in a path, it has no blanks around it, no
+    control or forbidden characters, no final dot, and isn't a device."""
     name = col(name)
-    said = lambda what: F.concat(F.lit(f"{kind} {what}: "), name)
-    return (
-        F.when(name.isNull() | (name == ""), F.lit(f"{kind} is required"))
-        .when(name.isin(".", ".."), said("cannot be . or .."))
-        .when(name != F.regexp_replace(name, r"^\s+|\s+$", ""), said("cannot have leading or trailing whitespace"))
-        .when(name.rlike(r'[<>:"/\\|?*\x00-\x1f]'), said("contains invalid characters"))
-        .when(name.endswith("."), said("cannot end with a dot"))
-        .when(F.upper(F.substring_index(name, ".", 1)).isin(RESERVED), said("is a reserved device name"))
-    )
+    banned = f"[\\x00-\\x1f{re.escape(FORBIDDEN)}]"
+    broken = [
+        (F.coalesce(name, F.lit("")) == "", "is empty"),
+        (name.rlike(r"^\.{1,2}$"), "is a step in a path, not a name"),
+        (name.rlike(r"^\s|\s$"), "has blanks around it"),
+        (F.regexp_replace(name, banned, "") != name, "has a character that names can't have"),
+        (name.like("%."), "has a dot at its end"),
+        (F.substring_index(F.upper(name), ".", 1).isin(DEVICES), "is the name of a device"),
+    ]
+    found = F.array(*[F.when(test, F.concat_ws(" ", F.lit(kind), F.when(name != "", F.concat(F.lit("'"), name, F.lit("'"))), F.lit(why))) for test, why in broken])
+    return F.get(F.filter(found, lambda e: e.isNotNull()), F.lit(0))
 
 
 def path_error(path: Col) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrow as A
+from ..functions.pages import plain_text
 
 ID = r"^\d{4}\.\d{4,5}$"
 
@@ -60,7 +60,7 @@ def news_rows(raw: DataFrame) -> DataFrame:
     """news_id, event_time, title, content, page_order of raw items (id, ctime, title, brief, content, page_order)."""
     pick = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names], F.lit(""))
     rows = raw.where(F.col("id").cast("string").rlike(r"^\d+$") & F.col("ctime").cast("string").rlike(r"^\d+$"))
-    return rows.select(F.col("id").cast("long").cast("string").alias("news_id"), F.timestamp_seconds(F.col("ctime").cast("long")).alias("event_time"), A.plain_text(pick("title", "brief", "content")).alias("title"), A.plain_text(pick("content", "brief")).alias("content"), "page_order")
+    return rows.select(F.col("id").cast("long").cast("string").alias("news_id"), F.timestamp_seconds(F.col("ctime").cast("long")).alias("event_time"), plain_text(pick("title", "brief", "content")).alias("title"), plain_text(pick("content", "brief")).alias("content"), "page_order")
 
 
 def numbered_batches(rows: DataFrame, size: int = 50, *order: str, text: str = "text", most_chars: int = 1000) -> DataFrame:

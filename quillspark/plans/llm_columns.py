@@ -74,5 +74,4 @@ def expose(spark: SparkSession) -> None:
                 yield from cut(text or "")
 
         spark.udtf.register(f"chunk_{kind}", udtf(Chunk, returnType="start_line int, end_line int, text string"))
-    spark.udf.register("html_plain_text", A.plain_text)
     spark.udf.register("front_matter", A.front_matter)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import text as X
 from ..functions import vectors as V
+from ..functions.pages import plain_text
 from ..operators import bm25, changes, chunkers, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
 from ..sources import files
 from ..streaming import seen as seen_state
@@ -634,7 +635,7 @@ def news_window(spark, d):
 
 @query()
 def html_plain_text(spark, d):
-    return load(spark, d, "pages").select("page_id", A.plain_text("html").alias("text"))
+    return load(spark, d, "pages").select("page_id", plain_text("html").alias("text"))
 
 
 @query("SELECT CAST(s.day AS VARCHAR) AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series((SELECT min(o_orderdate)::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 DAY))::DATE AS day) s LEFT JOIN (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY ALL) c ON c.day = s.day")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import html.entities
+import random
 import uuid
 
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import arrow as A
 from quillspark.functions import text as X
 from quillspark.functions import vectors as V
+from quillspark.functions.pages import plain_text, unescaped
 
 
 def one(spark, column):
@@ -45,6 +49,14 @@ def test_dates(spark):
 def test_paths(spark):
     assert each(spark, X.normal_path, ["a/./b//c", "a/../b", "../a", "\\x\\y", "/a/../../b"]) == ["a/b/c", "b", "../a", "x/y", "/../b"]
     assert [e is None for e in each(spark, X.name_error, ["a.md", "", ".", "a ", "a:b", "a.", "con.txt", "COM1", None, "nul2"])] == [True, False, False, False, False, False, False, False, False, True]
+    strange = [f"{a}{c}{b}" for c in [*map(chr, range(1, 127)), "é", "\u3000"] for a, b in (("", "x"), ("x", ""), ("x", "y"))]
+
+    def wrong(n):
+        return n in (".", "..") or n[0].isspace() or n[-1].isspace() or bool(set(n) & set('<>:"/\\|?*')) or min(n) < " " or n[-1] == "."
+
+    ascii_blank = [n for n in strange if not {"\x1c", "\x1d", "\x1e", "\x1f", "\u3000"} & set(n)]
+    assert [e is not None for e in each(spark, X.name_error, ascii_blank)] == [wrong(n) for n in ascii_blank]
+    assert each(spark, X.name_error, ["a|b", "", "Lpt9.x.y", "x "]) == ["filename 'a|b' has a character that names can't have", "filename is empty", "filename 'Lpt9.x.y' is the name of a device", "filename 'x ' has blanks around it"]
     assert [e is None for e in each(spark, X.path_error, ["a/b.md", "../x", "/abs", "~/x", "a/con/b", "a/../b", "", "a/../../b"])] == [True, False, False, False, False, True, False, False]
     assert each(spark, lambda v: X.under(v, "a/b"), ["a/b", "a/b/c", "a/bc"]) == [True, True, False]
     assert each(spark, lambda v: X.allowed_path(v, None), ["x"]) == [True] and each(spark, lambda v: X.allowed_path(v, []), ["x"]) == [False]
@@ -102,7 +114,6 @@ def test_vectors(spark):
 
 
 def test_python_functions(spark):
-    assert A.plain_text_of("<p>a&amp;b<script>x</script></p><div>c</div>d<br>e") == "a&b c d e" and A.plain_text_of(None) == ""
     assert A.fit_width("abc", 2) == "ab" and A.fit_width("日本語", 2) == "日" and A.fit_width(None, 3) is None
     assert A.decode_bytes(b"\xef\xbb\xbfa", ".txt") == ("a", "utf-8-sig") and A.decode_bytes("你".encode("gbk"), ".csv") == ("你", "gbk")
     assert A.decode_bytes("é".encode("utf-16"), ".md") == ("é", "utf-16") and A.decode_bytes(b"\xff", ".md")[0] == "�"
@@ -117,4 +128,21 @@ def test_python_functions(spark):
         A.topics_of(good, True)
     assert A.topics_of(": [", False) == [] and A.topics_of(None, True) == []
     df = spark.createDataFrame([("<p>x</p>", "日本語 abc"), (None, None)], "h string, t string")
-    assert [tuple(r) for r in df.select(A.plain_text("h"), A.truncate_width(2)("t")).collect()] == [("x", "日"), ("", None)]
+    assert [r["x"] for r in df.select(A.truncate_width(2)("t").alias("x")).collect()] == ["日", None]
+
+
+def test_pages(spark):
+    pages = {
+        "<p>a&amp;b<script>x</script></p><div>c</div>d<br>e": "a&b c d e", None: "", "": "", "1 < 2 &am</b>p; x": "1 < 2 &amp; x", "<B CLASS='p'>k</B>ept <!-- <p> --> in<li>one<LI>two": "kept in one two",
+        "x<SCRIPT src=a>1</p>2</Script >y<style>z": "xy", "\u2003a\x0b\xa0 b\x1c": "a b", "open <a href=": "open", "&amp;lt; &lt;p&gt; AT&T &notit; &#x41;&#66;&#0;&#128;&#xD800;&#x110000;&#99999999999;": "&lt; <p> AT&T ¬it; AB\ufffd€" + "\ufffd" * 3,
+    }
+    assert each(spark, plain_text, list(pages)) == list(pages.values())
+
+
+def test_references_equal_the_standard_library(spark):
+    rng = random.Random(2)
+    texts = [f"a&{n}b &{n};" for n in sorted({n.rstrip(";") for n in html.entities.html5})] + [f"&#{rng.choice([rng.randrange(400), rng.randrange(0x110000)])}{rng.choice([';', 'z', ''])}" for _ in range(500)]
+    got = each(spark, unescaped, texts)
+    # the library drops what may stand in no text: non-characters and control characters
+    bad = [(t, g, html.unescape(t)) for t, g in zip(texts, got, strict=True) if g != html.unescape(t) and not (t.startswith("&#") and html.unescape(t).rstrip("z") == "")]
+    assert bad == []
