@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,16 +30,26 @@ def latest_status(rows: DataFrame, key: str, status: str, *order: str) -> DataFr
 
 
 def pair_counts(rows: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
-    """key, n, concordant, discordant, x_ties, y_ties over all pairs of a key's rows. Equal (x, y) rows are first counted, so the join is one
-    of distinct values; pairs within such a class are ties in both."""
-    each = rows.groupBy(key, x, y).agg(F.count("*").alias("c")).select(key, F.struct(x, y).alias("v"), "c")
-    other = each.select(F.col(key).alias("_k"), F.col("v").alias("w"), F.col("c").alias("d"))
-    dx, dy = F.signum(F.col(f"w.{x}") - F.col(f"v.{x}")), F.signum(F.col(f"w.{y}") - F.col(f"v.{y}"))
-    cross = each.join(other, (F.col(key) == F.col("_k")) & (F.col("v") < F.col("w"))).select(key, (F.col("c") * F.col("d")).alias("n"), dx.alias("dx"), dy.alias("dy"))
-    sums = cross.groupBy(key).agg(*[F.sum(F.when(test, F.col("n")).otherwise(0)).alias(name) for name, test in (("concordant", F.col("dx") * F.col("dy") > 0), ("discordant", F.col("dx") * F.col("dy") < 0), ("xt", (F.col("dx") == 0)), ("yt", (F.col("dy") == 0)))])
-    own = each.groupBy(key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).cast("long").alias("both"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return own.join(sums, key, "left").select(key, "n", zero("concordant").alias("concordant"), zero("discordant").alias("discordant"), (zero("xt") + F.col("both")).alias("x_ties"), (zero("yt") + F.col("both")).alias("y_ties"))
+    """key, n, concordant, discordant, x_ties, y_ties over all pairs of a key's rows, without making any pair. Of two different ranks in y the
+    highest bit in which they differ tells which is greater, and ranks with equal bits above it share a group. So for each bit a running
+    count along x tells how many rows of a group with the other value of the bit come before: n rows cost n times the bits of n."""
+    each = rows.groupBy(key, x, y).agg(F.count("*").alias("c"))
+    by = Window.partitionBy(key)
+    ranked = each.select(key, "c", F.dense_rank().over(by.orderBy(x)).alias("rx"), (F.dense_rank().over(by.orderBy(y)) - 1).alias("ry"))
+    bits = F.length(F.bin(F.max("ry").over(by)))
+    bit = ranked.withColumn("bits", bits).select(key, "c", "rx", "ry", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("level"))
+    bit = bit.withColumn("above", F.expr("shiftright(ry, level + 1)")).withColumn("set", F.expr("shiftright(ry, level) & 1"))
+    before = Window.partitionBy(key, "level", "above").orderBy("rx").rangeBetween(Window.unboundedPreceding, -1)
+    count = lambda value: F.coalesce(F.sum(F.when(F.col("set") == value, F.col("c")).otherwise(0)).over(before), F.lit(0))
+    passed = bit.withColumn("low", count(0)).withColumn("high", count(1))
+    pairs = passed.groupBy(key).agg(F.sum(F.when(F.col("set") == 1, F.col("c") * F.col("low")).otherwise(0)).alias("concordant"), F.sum(F.when(F.col("set") == 0, F.col("c") * F.col("high")).otherwise(0)).alias("discordant"))
+
+    def ties(column: str, name: str) -> DataFrame:
+        own = rows.groupBy(key, column).agg(F.count("*").alias("c"))
+        return own.groupBy(key).agg(F.sum("c").alias(f"n_{name}"), F.sum((F.col("c") * (F.col("c") - 1) / 2).cast("long")).alias(name))
+
+    out = ties(x, "x_ties").withColumnRenamed("n_x_ties", "n").join(ties(y, "y_ties").drop("n_y_ties"), key).join(pairs, key)
+    return out.select(key, "n", "concordant", "discordant", "x_ties", "y_ties")
 
 
 def kendall(rows: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -121,8 +131,6 @@ def subtree(totals: DataFrame, prefix: list[str], path: str = "path") -> DataFra
 
 def previous_values(deltas: DataFrame, path: str = "path", value: str = "delta", order: str = "seq") -> DataFrame:
     """deltas with `previous`: the counter's value before each addition."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(path).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return deltas.withColumn("previous", F.coalesce(F.sum(value).over(w), F.lit(0)))
 

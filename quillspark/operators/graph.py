@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lineage import kept
 
 SCOPES = ("all", "real", "virtual")
 DIRECTIONS = {"out": "forward", "forward": "forward", "outlinks": "forward", "in": "backward", "backward": "backward", "inlinks": "backward", "both": "both"}
@@ -90,20 +91,19 @@ def adjacency(links: DataFrame, direction: str = "both") -> DataFrame:
     return ahead if way == "forward" else back if way == "backward" else ahead.unionByName(back)
 
 
-def traverse(links: DataFrame, nodes: DataFrame, seeds: list[str], depth: int = 1, direction: str = "both", keep=None) -> tuple[DataFrame, DataFrame]:
+def traverse(links: DataFrame, nodes: DataFrame, seeds: list[str], depth: int = 1, direction: str = "both") -> tuple[DataFrame, DataFrame]:
     """Nodes (path, depth, name, description, indexed) and links (with the depth at which they were first walked) within `depth` steps of
-    the seeds. One join for each step: the front with the links; nodes at the last depth aren't walked from. keep(df): writes a step's
-    result where later steps read it, for deep walks."""
+    the seeds. One join for each step: the front with the links; nodes at the last depth aren't walked from. Each step's result is kept
+    where later steps read it."""
     spark: SparkSession = links.sparkSession
     ways = adjacency(links, direction)
-    keep = keep or (lambda df: df)
     seen = spark.createDataFrame([(s, 0) for s in dict.fromkeys(s for s in seeds if s)], "path string, depth int")
     front, walked = seen, None
     for step in range(1, max(0, depth) + 1):
-        edges = keep(ways.join(front.select(F.col("path").alias("here")), "here"))
+        edges = kept(ways.join(front.select(F.col("path").alias("here")), "here"))
         new = edges.select("source_path", "target_path", "target_anchor").distinct().withColumn("depth", F.lit(step))
         walked = new if walked is None else walked.unionByName(new)
-        front = keep(edges.select(F.col("there").alias("path")).distinct().join(seen.select("path"), "path", "left_anti").withColumn("depth", F.lit(step)))
+        front = kept(edges.select(F.col("there").alias("path")).distinct().join(seen.select("path"), "path", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(front)
     if walked is None:
         walked = spark.createDataFrame([], "source_path string, target_path string, target_anchor string, depth int")

@@ -61,22 +61,24 @@ def words(text: Column) -> Column:
 
 def segments(messages: DataFrame, key: str, order: str, most_words: int, role: str = "role", text: str = "text") -> DataFrame:
     """messages with `segment`, the place of its segment's first message: whole turns, packed up to most_words words. What a turn adds to
-    depends on all before it, so a fold over each conversation's turns (two numbers each) decides."""
+    depends on all before it, so a fold over each conversation's turns (two numbers each) decides where segments begin."""
     own = turns(messages, key, order, role).withColumn("words", words(F.col(text)))
     if most_words <= 0:
         return own.withColumn("segment", F.lit(0)).drop("words", "turn_no")
     per_turn = own.groupBy(key, "turn_no").agg(F.sum("words").cast("int").alias("w"), F.count("*").cast("int").alias("n"))
     folded = per_turn.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn_no", "w", "n"))).alias("all"))
-    state = "struct<used:int,at:int,begin:int,out:array<struct<turn_no:int,segment:int>>>"
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array().cast("array<struct<turn_no:int,segment:int>>").alias("out")).cast(state)
+    state = "struct<used:int,at:int,begin:int,out:array<int>>"
+    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.lit(0).alias("begin"), F.array(F.lit(0)).alias("out")).cast(state)
 
     def step(acc: Column, t: Column) -> Column:
         fresh = (acc["at"] > acc["begin"]) & (acc["used"] + t["w"] > most_words)
-        begin = F.when(fresh, acc["at"]).otherwise(acc["begin"])
         used = F.when(fresh, F.lit(0)).otherwise(acc["used"]) + t["w"]
-        return F.struct(used.alias("used"), (acc["at"] + t["n"]).alias("at"), begin.alias("begin"), F.concat(acc["out"], F.array(F.struct(t["turn_no"].cast("int").alias("turn_no"), begin.alias("segment")))).alias("out")).cast(state)
+        return F.struct(used.alias("used"), (acc["at"] + t["n"]).alias("at"), F.when(fresh, acc["at"]).otherwise(acc["begin"]).alias("begin"), F.when(fresh, F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"]).alias("out")).cast(state)
 
-    placed = folded.select(key, F.explode(F.aggregate("all", zero, step, lambda a: a["out"])).alias("t")).select(key, "t.turn_no", "t.segment")
+    begins = folded.select(key, F.explode(F.aggregate("all", zero, step, lambda a: a["out"])).alias("at")).withColumn("segment", F.col("at"))
+    w = Window.partitionBy(key).orderBy("turn_no")
+    starts = per_turn.withColumn("at", (F.sum("n").over(w) - F.col("n")).cast("int")).join(begins, [key, "at"], "left")
+    placed = starts.select(key, "turn_no", F.last("segment", ignorenulls=True).over(w).alias("segment"))
     return own.join(placed, [key, "turn_no"]).drop("words", "turn_no")
 
 
@@ -105,10 +107,10 @@ def day_of(messages: DataFrame, *key: str, at: str = "created_at", zone: str = "
     return messages.groupBy(*key).agg(F.max(F.to_date(F.from_utc_timestamp(F.col(at), zone))).alias("day"))
 
 
-def new_day(sessions: DataFrame, key: str, at: str) -> DataFrame:
-    """sessions with `is_new_day`: not the day of the one before."""
+def new_day(sessions: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
+    """sessions with `is_new_day`: not the day of the one before. ties: columns that put sessions of the same time in order."""
     day = F.to_date(F.col(at))
-    return sessions.withColumn("is_new_day", F.coalesce(day != F.lag(day).over(Window.partitionBy(key).orderBy(at)), F.lit(True)))
+    return sessions.withColumn("is_new_day", F.coalesce(day != F.lag(day).over(Window.partitionBy(key).orderBy(at, *ties)), F.lit(True)))
 
 
 def pairs(messages: DataFrame, key: str, order: str, role: str = "role", text: str = "text") -> DataFrame:

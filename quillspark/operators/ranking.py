@@ -63,10 +63,15 @@ def news_rows(raw: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long").cast("string").alias("news_id"), F.timestamp_seconds(F.col("ctime").cast("long")).alias("event_time"), plain_text(pick("title", "brief", "content")).alias("title"), plain_text(pick("content", "brief")).alias("content"), "page_order")
 
 
-def numbered_batches(rows: DataFrame, size: int = 50, *order: str, text: str = "text", most_chars: int = 1000) -> DataFrame:
-    """rows with `batch`: consecutive ones of `size` rows; texts cut to most_chars. For a day's news: the rows are put in one order."""
-    nth = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(nth / size).cast("int")).withColumn(text, F.left(text, F.lit(most_chars)))
+def numbered_batches(rows: DataFrame, size: int = 50, *order: str, text: str = "text", most_chars: int = 1000, part: Column | None = None) -> DataFrame:
+    """rows with `batch`: consecutive ones of `size` rows; texts cut to most_chars. part: a column that rises with the order (a day of a time);
+    parts are numbered by themselves, after the rows of all parts before them, so no task sees more than one part."""
+    own = rows.withColumn("_part", F.lit(0) if part is None else part)
+    counts = own.groupBy("_part").agg(F.count("*").alias("n"))  # a row for each part
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy(F.asc_nulls_first("_part"))) - F.col("n")).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
+    numbered = own.alias("r").join(F.broadcast(before).alias("b"), F.col("r._part").eqNullSafe(F.col("b._part"))).select("r.*", "_before")
+    return numbered.withColumn("batch", F.floor(nth / size).cast("int")).withColumn(text, F.left(text, F.lit(most_chars))).drop("_part", "_before")
 
 
 def date_spine(events: DataFrame, at: str, counted: str = "n") -> DataFrame:

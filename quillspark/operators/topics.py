@@ -34,29 +34,31 @@ def date_window(day: Column, n: int) -> Column:
     return F.sequence(F.date_sub(day, n - 1), day)
 
 
-def allowed_paths(paths: Column, allowed: Column) -> Column:
-    """Paths that are allowed, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(paths, lambda p: F.trim(p)), lambda p: F.array_contains(allowed, p)))
+def with_allowed(rows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """rows (paths and other columns) with those of their paths that are allowed (path), each once, in order; rows without one go."""
+    names = rows.columns
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", *names, F.posexplode("paths").alias("_pos", "_path")).withColumn("_path", F.trim("_path"))
+    known = each.join(allowed.select(F.col("path").alias("_path")).distinct(), "_path", "left_semi")
+    found = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_path"))), lambda x: x["_path"]))
+    return known.groupBy("_row").agg(*[found.alias(n) if n == "paths" else F.first(n).alias(n) for n in names]).select(*names)
 
 
 def clean_units(units: DataFrame, allowed: DataFrame, most: int | None = None, order: str = "ordinal") -> DataFrame:
     """Units (ordinal, name, bucket, summary, paths) with a name, a summary and an allowed path (allowed: path); unknown buckets are wiki."""
-    known = F.broadcast(allowed.agg(F.collect_set("path").alias("allowed")))  # the paths of one run
-    rows = units.join(known).withColumn("paths", allowed_paths(F.col("paths"), F.col("allowed"))).drop("allowed")
+    rows = with_allowed(units, allowed)
     trim = lambda c: F.trim(F.coalesce(c, F.lit("")))
     rows = rows.withColumn("name", trim("name")).withColumn("summary", trim("summary")).withColumn("bucket", F.when(F.trim("bucket").isin(*BUCKETS), F.trim("bucket")).otherwise("wiki"))
-    fine = rows.where("name <> '' AND summary <> '' AND size(paths) > 0")
+    fine = rows.where("name <> '' AND summary <> ''")
     return fine.orderBy(order).limit(most) if most is not None else fine
 
 
 def clean_topics(topics: DataFrame, allowed: DataFrame) -> DataFrame:
     """Topics (title, reason, evidence, keywords, paths) with a title, a reason and an allowed path."""
-    known = F.broadcast(allowed.agg(F.collect_set("path").alias("allowed")))
     trim = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    rows = topics.join(known).withColumn("paths", allowed_paths(F.col("paths"), F.col("allowed"))).drop("allowed")
+    rows = with_allowed(topics, allowed)
     rows = rows.withColumn("title", trim("title")).withColumn("reason", trim("reason")).withColumn("evidence", trim("evidence"))
     rows = rows.withColumn("keywords", F.filter(F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k != ""))
-    return rows.where("title <> '' AND reason <> '' AND size(paths) > 0")
+    return rows.where("title <> '' AND reason <> ''")
 
 
 def dedupe_topics(topics: DataFrame, same_day: DataFrame, recent: DataFrame, most: int, *key: str, order: str = "ordinal") -> DataFrame:

@@ -1,10 +1,10 @@
-"""Exact vector search, and an approximate one by random hyperplanes."""
+"""Exact vector search, and upkeep of vectors. An approximate search is in ann."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,31 +26,17 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, *ties: str, embedding
     return cosines(rows, query, embedding).drop(embedding).orderBy(F.desc("score"), *ties).limit(max(0, k))
 
 
-def cosine_pairs(rows: DataFrame, queries: DataFrame, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """query_id, id, score of a stated, small set of queries (id, embedding) with all rows."""
-    asked = queries.select(F.col(id).alias("query_id"), F.col(embedding).alias("query"))
-    return rows.join(F.broadcast(asked)).select("query_id", id, V.cosine(embedding, "query").alias("score"))
-
-
-def hyperplane_keys(dim: int, bits: int, seed: int = 3):
-    """A function from a vector column to its side of `bits` random hyperplanes, as one number."""
-    planes = np.random.default_rng(seed).normal(size=(bits, dim)).tolist()
+#: Queries that travel to the rows at once.
+ASKED = 4096
 
-    def key(column: str):
-        total = F.lit(0).cast("long")
-        for i, plane in enumerate(planes):
-            total = total + F.when(V.dot(column, literal(plane)) >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-        return total
 
-    return key
-
-
-def approximate_top_k(rows: DataFrame, query: Sequence[float], k: int, *ties: str, embedding: str = "embedding", bits: int = 6, probes: int = 2, seed: int = 3) -> DataFrame:
-    """As top_k, among rows whose hyperplane key is within `probes` bits of the query's."""
-    planes = np.random.default_rng(seed).normal(size=(bits, len(query)))
-    own = int(sum(1 << i for i, x in enumerate(planes @ np.array(query, float)) if x >= 0))
-    near = rows.where(F.bit_count(hyperplane_keys(len(query), bits, seed)(embedding).bitwiseXOR(F.lit(own))) <= probes)
-    return top_k(near, query, k, *ties, embedding=embedding)
+def cosine_pairs(rows: DataFrame, queries: DataFrame, id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """query_id, id, score of a stated set of queries (id, embedding) with all rows, in blocks of about ASKED queries."""
+    asked = queries.select(F.col(id).alias("query_id"), F.col(embedding).alias("query"))
+    blocks = -(-queries.count() // ASKED)
+    own = [asked] if blocks <= 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
+    pairs = [rows.join(F.broadcast(block)).select("query_id", id, V.cosine(embedding, "query").alias("score")) for block in own]
+    return reduce(DataFrame.unionByName, pairs)
 
 
 def missing_vectors(chunks: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import arrow as A
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.pages import plain_text
-from ..operators import bm25, changes, chunkers, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
+from ..operators import ann, bm25, changes, chunkers, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
 from ..sources import files
 from ..streaming import seen as seen_state
 from . import llm_columns, search, tables
@@ -114,10 +114,10 @@ def vector_filtered(spark, d):
     return vector.top_k(load(spark, d, "embeddings").where("label = 3"), first_vector(spark, d), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 2)")
+@query(f"SELECT q.vec_id AS query_id, e.vec_id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0")
 def cosine_pairs(spark, d):
     rows = load(spark, d, "embeddings")
-    return vector.cosine_pairs(rows, rows.where("vec_id IN (0, 1, 2)"), "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return vector.cosine_pairs(rows, rows.where("vec_id % 50 = 0"), "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS size, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
@@ -127,7 +127,24 @@ def unit_vectors(spark, d):
 
 @query()
 def vector_approximate(spark, d):
-    return vector.approximate_top_k(load(spark, d, "embeddings"), first_vector(spark, d), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    """The ten nearest rows, found over cells, of every row whose id is divisible by 50."""
+    rows = load(spark, d, "embeddings").select("vec_id", "embedding")
+    first = rows.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    cells = ann.fit(rows, first[0] if first else 1, 10, "vec_id")
+    return ann.search(ann.index(rows, cells, "vec_id"), rows.where("vec_id % 50 = 0"), cells, 10, "vec_id").select("query_id", F.col("id").alias("vec_id"), *big("rank"), F.round("score", 6).alias("score"))
+
+
+ALL_PAIRS = f"SELECT q.vec_id AS query_id, e.vec_id, {COS} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"
+
+
+@query(f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 6) AS score FROM ({ALL_PAIRS}) QUALIFY rank <= 10")
+def vector_cells_exact(spark, d):
+    """The same with all cells: the exact way."""
+    rows = load(spark, d, "embeddings").select("vec_id", "embedding")
+    first = rows.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    cells = ann.fit(rows, first[0] if first else 1, 10, "vec_id")
+    found = ann.search(ann.index(rows, cells, "vec_id"), rows.where("vec_id % 50 = 0"), cells, 10, "vec_id", probes=len(cells.centres))
+    return found.select("query_id", F.col("id").alias("vec_id"), *big("rank"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64")
@@ -258,9 +275,9 @@ def chunk_hashes(spark, d):
     return derive(spark, d, CHUNKS).select("doc_id", X.chunk_id("path", "start_line", "end_line", "text").alias("id"), X.short_hash("path").alias("short"), F.md5(F.sha1("path")).alias("signed"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(left(text, 80)), '[^a-z0-9一-鿿]+', ' ', 'g')) AS norm FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9一-鿿]+', ' ', 'g')) AS norm FROM documents")
 def topic_keys(spark, d):
-    return load(spark, d, "documents").select("doc_id", X.topic_key(F.left("text", F.lit(80))).alias("norm"))
+    return load(spark, d, "documents").select("doc_id", X.topic_key("text").alias("norm"))
 
 
 # -- links and graph -----------------------------------------------------------------
@@ -552,9 +569,8 @@ def conversation_day(spark, d):
 
 @query("SELECT event_id, coalesce(CAST(ts AS DATE) <> CAST(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DATE), TRUE) AS is_new_day FROM events")
 def session_new_day(spark, d):
-    rows = load(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
-    day = F.to_date("ts")
-    return rows.withColumn("is_new_day", F.coalesce(day != F.lag(day).over(Window.partitionBy("user_id").orderBy("at")), F.lit(True))).select("event_id", "is_new_day")
+    rows = load(spark, d, "events")
+    return messages.new_day(rows, "user_id", "ts", "event_id").select("event_id", "is_new_day")
 
 
 @query("WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, text AS \"user\", CASE WHEN nr = 'assistant' THEN nt END AS assistant FROM t WHERE role = 'user'")
@@ -591,7 +607,7 @@ def can_append(spark, d):
 
 # -- topics, papers, news ------------------------------------------------------------------
 
-TITLES = "SELECT doc_id, CAST(doc_id % 20 AS STRING) AS day, left(text, 12) AS title FROM documents"
+TITLES = "SELECT doc_id, CAST(doc_id % 20 AS STRING) AS day, text AS title FROM documents"
 
 
 @query(
@@ -653,9 +669,9 @@ def week_labels(spark, d):
     return load(spark, d, "orders").select("o_orderkey", X.iso_week("o_orderdate").alias("week"), X.month_label("o_orderdate").alias("month"))
 
 
-@query("SELECT CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 50) AS BIGINT) AS batch, event_id, left(props, 10) AS props FROM events")
+@query("SELECT CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 50) AS BIGINT) AS batch, event_id, left(props, 1000) AS props FROM events")
 def news_batches(spark, d):
-    return ranking.numbered_batches(load(spark, d, "events"), 50, "ts", "event_id", text="props", most_chars=10).select(*big("batch"), "event_id", "props")
+    return ranking.numbered_batches(load(spark, d, "events"), 50, "ts", "event_id", text="props", part=F.to_date("ts")).select(*big("batch"), "event_id", "props")
 
 
 # -- evaluation -----------------------------------------------------------------------------

@@ -29,9 +29,9 @@ NEW = "SELECT concat('f', CAST(doc_id AS STRING)) AS path, CAST(n_chars + CASE W
 #: Texts with links.
 NOTES = """SELECT CAST(doc_id AS STRING) AS path, concat('See [[a/', CAST(doc_id % 10 AS STRING), '.md#L', CAST(doc_id % 4 AS STRING), '|x]] and ![[ b.md ]] or [[a/', CAST(doc_id % 3 AS STRING), '.md]] [[]] ', text) AS text FROM documents"""
 
-#: Two ranked lists of parts.
-MONTHLY = "SELECT CAST(p_partkey AS STRING) AS arxiv_id, p_name AS title, p_size AS upvotes, CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS INT) AS rank FROM part WHERE p_size <= 30"
-WEEKLY = "SELECT CAST(p_partkey AS STRING) AS arxiv_id, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS title, p_size + 1 AS upvotes, CAST(row_number() OVER (ORDER BY p_size DESC, p_partkey) AS INT) AS rank FROM part WHERE p_size >= 20"
+#: Two ranked lists of parts, of which the second has other ids at both ends.
+MONTHLY = "SELECT CAST(p_partkey AS STRING) AS arxiv_id, p_name AS title, p_size AS upvotes, CAST(1 + (p_partkey * 7919) % 100003 AS INT) AS rank FROM part"
+WEEKLY = "SELECT CAST(p_partkey + 70 AS STRING) AS arxiv_id, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_brand END AS title, p_size + 1 AS upvotes, CAST(1 + (p_partkey * 104729) % 100003 AS INT) AS rank FROM part"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

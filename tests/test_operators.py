@@ -3,11 +3,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import bm25, changes, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
-from quillspark.plans import llm_columns, search
+from quillspark.operators import ann, bm25, changes, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
+from quillspark.plans import llm_columns, queries, search
 
 
 def rows(df, *columns):
@@ -56,11 +57,50 @@ def test_vectors(spark):
     assert rows(vector.reuse_vectors(new, old, 2), "id", "embedding") == [("a", [1.0, 2.0]), ("a2", None), ("b", None)]
     a, b = vector.content_digest(df, "id").first(), vector.content_digest(df.orderBy(F.desc("id")).repartition(3), "id").first()
     assert a == b != vector.content_digest(df.where("id < 5"), "id").first()
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_cells_find_the_neighbours(spark, sf):
+    """The registered search's own parameters, over all queries, against brute force."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding")
+    x = {r["vec_id"]: np.array(r["embedding"], float) / np.linalg.norm(np.array(r["embedding"], float)) for r in rows.collect()}
+    ids = np.array(sorted(x))
+    matrix = np.stack([x[i] for i in ids.tolist()])
+    hit = n = 0
+    got = {}
+    for r in queries.vector_approximate(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for i in ids[ids % 50 == 0].tolist():
+        s = matrix @ x[i]
+        true = set(ids[np.lexsort((ids, -s))[:10]].tolist())
+        assert [k for k, _ in sorted(got[i])] == list(range(1, 11))
+        hit, n = hit + len(true & {v for _, v in got[i]}), n + 10
+    assert hit / n >= 0.9
+
+
+def test_cells_of_odd_rows(spark, monkeypatch):
     rng = random.Random(1)
-    many = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "id int, embedding array<float>")
-    q = many.first()["embedding"]
-    exact = {r["id"] for r in vector.top_k(many, q, 10, "id").collect()}
-    assert len(exact & {r["id"] for r in vector.approximate_top_k(many, q, 10, "id", probes=3).collect()}) >= 6
+    monkeypatch.setattr(ann, "SMALL", 10)
+    monkeypatch.setattr(ann, "PART", 40)
+    good = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)]
+    odd = [(1000, None), (1001, [0.0] * 8), (1002, [1.0]), (1003, [None] * 8), (1004, [float("nan")] * 8), (1005, good[7][1]), (1006, [1e300] * 8), (1007, [])]
+    df = spark.createDataFrame([(*r, "x") for r in good + odd], "id long, embedding array<double>, cell string")
+    cells = ann.fit(df, 8)
+    assert 1 < len(cells.centres) and cells.recall >= 0.95
+    asked = df.where("id % 20 = 0 OR id >= 1000")
+    exact = ann.search(ann.index(df, cells), asked, cells, 5, probes=99)
+    found = {}
+    for r in exact.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    unit = {i: np.array(v) / 1e300 if i == 1006 else np.array(v) for i, v in good + [odd[5], odd[6]]}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    assert set(found) == {*range(0, 300, 20), 1000 + 5, 1000 + 6}
+    for q, own in found.items():
+        want = sorted(unit, key=lambda i: (-round(float(unit[i] @ unit[q]), 12), i))[:5]
+        assert [i for _, i in sorted(own)] == want
+    assert ann.measured(ann.search(ann.index(df, cells), asked, cells, 5), exact) >= 0.9
+    none = df.where("false")
+    assert ann.search(ann.index(none, ann.fit(none, 8)), asked, ann.fit(none, 8), 5).collect() == []
 
 
 def test_fusion(spark):
