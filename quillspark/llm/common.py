@@ -41,6 +41,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows (of a few numbers each) that are sent to all executors at most.
+SENT_ROWS = 1 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A written table as the smaller side of a join with texts: sent to the texts where its rows are counted and few; beyond, both sides are
+    dealt out by their keys."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Removes a folder of the shared file system, through Spark's own access to it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import blocks, cut, mix, tidied, utf8
+from .common import blocks, cut, mix, small_side, tidied, utf8
 from .components import components
 from .simhash import majority, shingle_hashes
 
@@ -61,23 +61,14 @@ def digests(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, digest of the set, its fingerprint and its bands."""
+    """doc_id and text_hash as they come; digest of the set, its fingerprint and its bands."""
     for part in blocks(batches):
         hashes, at = shingle_sets(*utf8(part.column("text")))
         some = np.diff(at) > 0
         fp = majority(hashes, at)
         bands = band_keys(hashes, at[:-1][some]) if some.any() else np.zeros(0, np.uint64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(hashes, at)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "digest", "fp", "bands"])
-
-
-def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, digest of the set, its hashes as bytes."""
-    for part in blocks(batches):
-        hashes, at = shingle_sets(*utf8(part.column("text")))
-        data = hashes.tobytes()
-        own = [data[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests(hashes, at)), pa.array(own, pa.binary())], names=["doc_id", "digest", "hashes"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(digests(hashes, at)), pa.array(fp.view(np.int64)), lists], names=["doc_id", "text_hash", "digest", "fp", "bands"])
 
 
 def groups_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -114,9 +105,14 @@ def groups_of(sets: list[np.ndarray]) -> np.ndarray:
 
 @tidied
 def verified(rows: pa.Table) -> pa.Table:
-    """digest and family, the least digest of its group, of the nodes of one candidate family."""
-    digest = rows.column("digest").to_numpy()
-    group = groups_of([np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()])
+    """digest and family, the least digest of its group, of the texts of one candidate family."""
+    own: dict[int, np.ndarray] = {}
+    for part in blocks(iter(rows.combine_chunks().to_batches())):
+        hashes, at = shingle_sets(*utf8(part.column("text")))
+        for d, a, b in zip(digests(hashes, at).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own.setdefault(d, hashes[a:b].copy())
+    digest = np.array(list(own), np.int64)
+    group = groups_of(list(own.values()))
     least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, digest)
     return pa.table([pa.array(digest), pa.array(least[group])], names=["digest", "family"])
@@ -124,10 +120,10 @@ def verified(rows: pa.Table) -> pa.Table:
 
 def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest and family (the least digest of the group) of every row."""
-    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    marked = cut(texts.mapInArrow(sketches, "doc_id long, digest long, fp long, bands array<long>"))
+    texts = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marked = cut(texts.mapInArrow(sketches, "doc_id long, text_hash long, digest long, fp long, bands array<long>"))
     # copies go before anything is dealt by a band
-    nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"))
+    nodes = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min("fp").alias("fp"), F.any_value("bands").alias("bands"))
     close = simhash.families(cut(nodes.select("fp").distinct()))
     marks = nodes.select("digest", "fp").join(close, F.col("fp") == F.col("node"), "left").select("digest", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
     keyed = nodes.select("digest", F.explode("bands").alias("key")).unionByName(marks)
@@ -135,11 +131,10 @@ def families(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     links = keyed.join(first, "key").where("digest <> other")
     family = components(links.select(F.col("digest").alias("u"), F.col("other").alias("v")))
     family = family.unionByName(family.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("of"), "root")
-    chosen = cut(nodes.select("digest", "least").join(family, F.col("digest") == F.col("of")).select("of", "root", "least"))
-    # sets are made again rather than kept, and only those of one row of each candidate travel to its family
-    again = texts.mapInArrow(sets, "doc_id long, digest long, hashes binary")
-    members = again.join(chosen, (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    found = members.select("root", "digest", "hashes").groupBy("root").applyInArrow(verified, "digest long, family long")
+    chosen = cut(nodes.select("digest", "least").join(family, F.col("digest") == F.col("of")).select("root", F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("hash")))
+    # sets are made again rather than kept: of each node one row's text travels to its family
+    members = texts.join(small_side(chosen), (F.col("text_hash") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    found = members.select("root", "text").groupBy("root").applyInArrow(verified, "digest long, family long")
     found = found.groupBy(F.col("digest").alias("of")).agg(F.min("family").alias("family"))  # rows may be repeated
     return marked.select("doc_id", "digest").join(found, F.col("digest") == F.col("of"), "left").select("doc_id", "digest", F.coalesce("family", "digest").alias("family"))
 
@@ -159,7 +154,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     by_id = cut(rows.join(first, "family").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(stays.cast("int")).alias("first"), F.collect_set(F.when(stays, F.col("digest"))).alias("digests")))
     ids = lambda which, name: by_id.where(which).select(F.col("doc_id").alias(name))
     gone = ids("first = 0 OR n > 1", "__gone")
-    kept = docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    kept = docs.join(small_side(gone), docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
     if ids("first > 0 AND n > 1", "doc_id").isEmpty():
         return kept
     # ids with several rows, of which some stay: decided row by row
