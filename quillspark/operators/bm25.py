@@ -1,8 +1,7 @@
 """BM25: statistics, an inverted index as tables, and scores.
 
 The index is one table of postings (doc_id, token, tf, dl) and one row of corpus statistics. Every posting carries its document's
-length, so a query reads the postings of its terms and nothing else; on disk they lie in buckets by token, of which a query
-opens its terms' own.
+length, so a query reads the postings of its terms and nothing else; keyword_index keeps them on disk.
 """
 
 from __future__ import annotations
@@ -10,12 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-K1, B, BUCKETS = 1.5, 0.75, 256
+K1, B = 1.5, 0.75
 
 
 def query_terms(query: str, stopwords: Iterable[str] | None = None) -> list[str]:
@@ -86,24 +85,6 @@ def top_k(scores: DataFrame, k: int, *ties: str) -> DataFrame:
 # -- keeping an index --------------------------------------------------------
 
 
-def bucketed(index: DataFrame) -> DataFrame:
-    return index.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int"))
-
-
-def write_index(index: DataFrame, path: str, fingerprint: str = "default") -> None:
-    """Postings by token bucket, sorted by token within files; the statistics beside them. The fingerprint names the tokenizer."""
-    bucketed(index).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{fingerprint}/postings")
-    corpus_stats(index).coalesce(1).write.mode("overwrite").parquet(f"{path}/{fingerprint}/stats")
-
-
-def search_index(spark: SparkSession, path: str, query: str, k: int, fingerprint: str = "default", stopwords: Iterable[str] | None = None) -> DataFrame:
-    """The k best documents by a written index; only the terms' buckets are opened."""
-    terms = query_terms(query, stopwords)
-    stored = spark.read.parquet(f"{path}/{fingerprint}/postings")
-    wanted = [r["b"] for r in spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()] if terms else []
-    return top_k(score_index(stored.where(F.col("bucket").isin(wanted) if wanted else F.lit(False)), spark.read.parquet(f"{path}/{fingerprint}/stats"), terms), k)
-
-
 def without_docs(index: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """The index without some documents (doc_id); what had been deleted leaves no trace in later statistics."""
     return index.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")

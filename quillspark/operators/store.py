@@ -1,9 +1,7 @@
 """The document store: nodes, links and chunks as partitioned Parquet, kept as a base and small changes to it.
 
 A change is a folder with new rows and with the paths whose older rows it takes away, so an update writes what is new and nothing else.
-After MOST_CHANGES of them the next write compacts all to a new base. A state is a numbered pointer file that lists its folders; it is
-renamed into place, never overwritten, and readers take the one with the greatest number: they see the old state or the new one.
-Chunks are partitioned by layer (the first segment of their path), which turns prefix filters into partition pruning.
+After MOST_CHANGES of them the next write compacts all to a new base. Chunks are partitioned by layer (the first segment of their path), which turns prefix filters into partition pruning.
 """
 
 from __future__ import annotations
@@ -11,19 +9,18 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import text as X
 from . import chunkers, graph
 from .vector import reuse_vectors
+from .versions import MOST_CHANGES, Versions
 
 CHUNKS = "id string, path string, start_line int, end_line int, text string, embedding array<float>, metadata map<string,string>, layer string"
 NODES = "path string, st_mtime double, name string, description string, fields map<string,string>, chunk_ids array<string>"
 LINKS = "source_path string, target_path string, target_anchor string, idx int"
-#: Changes that a state has at most.
-MOST_CHANGES = 16
 TABLES = {"chunks": CHUNKS, "nodes": NODES, "links": LINKS}
 
 
@@ -63,51 +60,8 @@ def upserted(tables: dict[str, DataFrame], new: dict[str, DataFrame], dim: int |
     return {"chunks": rest["chunks"].unionByName(fresh), "nodes": rest["nodes"].unionByName(new["nodes"]), "links": rest["links"].unionByName(new["links"])}
 
 
-class Store:
-    """Tables under a folder. Writers are expected to take turns; a second one at the same time fails."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(self.path)
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop.Path
-
-    def _pointers(self) -> list[str]:
-        fs, path = self._fs()
-        found = fs.globStatus(path(f"{self.path}/state-*"))
-        return sorted(f.getPath().getName() for f in found) if found else []
-
-    def version(self) -> str | None:
-        """The name of the state that readers see."""
-        return (self._pointers() or [None])[-1]
-
-    def folders(self) -> list[str]:
-        """The state's base and changes, in order."""
-        name = self.version()
-        if name is None:
-            return []
-        fs, path = self._fs()
-        stream = fs.open(path(f"{self.path}/{name}"))
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
-        finally:
-            stream.close()
-
-    def point_to(self, folders: list[str]) -> str:
-        fs, path = self._fs()
-        before = self._pointers()
-        name = f"state-{int(before[-1][6:]) + 1 if before else 0:012d}"
-        new = path(f"{self.path}/.{uuid.uuid4().hex}")
-        out = fs.create(new, True)
-        out.write(" ".join(folders).encode())
-        out.close()
-        if fs.exists(path(f"{self.path}/{name}")) or not fs.rename(new, path(f"{self.path}/{name}")):
-            raise RuntimeError(f"another writer has made {name} of {self.path}")
-        for old in before[:-1]:  # readers may have the last one in hand
-            fs.delete(path(f"{self.path}/{old}"), False)
-        return name
+class Store(Versions):
+    """Tables under a folder."""
 
     def read(self) -> dict[str, DataFrame]:
         folders = self.folders()

@@ -13,6 +13,7 @@ from ..functions import vectors as V
 from ..functions.pages import plain_text
 from ..operators import ann, bm25, changes, chunkers, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
 from ..sources import files
+from ..streaming import change_feed
 from ..streaming import seen as seen_state
 from . import llm_columns, search, tables
 from .tables import CHUNKS, LINKS, MONTHLY, NEW, NODES, NOTES, OLD, RANGES, WEEKLY, derive, load
@@ -147,12 +148,13 @@ def vector_cells_exact(spark, d):
     return found.select("query_id", F.col("id").alias("vec_id"), *big("rank"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64")
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 7 = 0")
 def vectors_missing(spark, d):
-    return vector.missing_vectors(load(spark, d, "embeddings"), 64).select("vec_id")
+    rows = load(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 3)).when(F.col("vec_id") % 10 != 0, F.col("embedding")))
+    return vector.missing_vectors(rows, 64).select("vec_id")
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(sum(('0x' || left(md5(concat(vec_id, ':', array_to_string(list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1099511627776) AS BIGINT)), ','))), 15))::BIGINT::HUGEINT) AS VARCHAR) AS digest FROM embeddings")
 def vector_digest(spark, d):
     return vector.content_digest(load(spark, d, "embeddings"), "vec_id")
 
@@ -506,13 +508,21 @@ def chunk_default(spark, d):
     return chunkers.chunk(docs, "default").groupBy(F.col("path").cast("bigint").alias("doc_id")).agg(F.count("*").alias("chunks"))
 
 
-@query()
+SAID = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n, to_json({'turn': turn, 'role': role, 'text': text})::VARCHAR AS line FROM conversations"
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT conv_id, i, CASE WHEN i < n THEN line || chr(10) ELSE line END AS line FROM ({SAID})), r AS (SELECT conv_id, i, line, length(line) AS used, 0 AS chunk_index FROM l WHERE i = 1
+  UNION ALL SELECT l.conv_id, l.i, l.line, CASE WHEN r.used + length(l.line) <= 2000 THEN r.used + length(l.line) ELSE length(l.line) END, CASE WHEN r.used + length(l.line) <= 2000 THEN r.chunk_index ELSE r.chunk_index + 1 END FROM r JOIN l ON l.conv_id = r.conv_id AND l.i = r.i + 1),
+  c AS (SELECT conv_id || '.jsonl' AS path, chunk_index, CAST(min(i) AS INTEGER) AS start_line, CAST(max(i) AS INTEGER) AS end_line, string_agg(line, '' ORDER BY i) AS text FROM r GROUP BY ALL)
+  SELECT *, sha256(concat_ws(' ', path, start_line::VARCHAR, end_line::VARCHAR, text)) AS id FROM c"""
+)
 def chunk_jsonl(spark, d):
     lines = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.to_json(m)), "\n").alias("text"))
     return chunkers.chunk(lines.withColumn("path", F.concat("conv_id", F.lit(".jsonl"))))
 
 
-@query()
+@query("SELECT path, 0 AS chunk_index, 1 AS start_line, 1 AS end_line, text, sha256(concat_ws(' ', path, '1', '1', text)) AS id FROM (SELECT event_id || '.json' AS path, props AS text FROM events)")
 def chunk_json(spark, d):
     return chunkers.chunk(load(spark, d, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.col("props").alias("text")))
 
@@ -538,7 +548,14 @@ def turns(spark, d):
     return messages.turns(load(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", *big("turn_no"))
 
 
-@query()
+WORDED = "SELECT conv_id, turn, CASE WHEN first(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user' THEN 0 ELSE 1 END + sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no, len(list_filter(string_split_regex(trim(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS words FROM conversations"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT conv_id, turn_no, sum(words) AS w, count(*) AS n FROM ({WORDED}) GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn_no) AS i, sum(n) OVER (PARTITION BY conv_id ORDER BY turn_no) - n AS at FROM p),
+  r AS (SELECT conv_id, turn_no, i, w AS used, CAST(0 AS HUGEINT) AS segment FROM q WHERE i = 1 UNION ALL SELECT q.conv_id, q.turn_no, q.i, CASE WHEN q.at > r.segment AND r.used + q.w > 120 THEN q.w ELSE r.used + q.w END, CASE WHEN q.at > r.segment AND r.used + q.w > 120 THEN q.at ELSE r.segment END FROM r JOIN q ON q.conv_id = r.conv_id AND q.i = r.i + 1)
+  SELECT t.conv_id, t.turn, CAST(r.segment AS INTEGER) AS segment FROM ({WORDED}) t JOIN r ON r.conv_id = t.conv_id AND r.turn_no = t.turn_no"""
+)
 def segments(spark, d):
     return messages.segments(load(spark, d, "conversations"), "conv_id", "turn", 120).select("conv_id", "turn", "segment")
 
@@ -599,10 +616,13 @@ def transcript_increment(spark, d):
     return messages.new_rows(rows, rows.where("turn < 3"), "conv_id", "turn").select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, bool_and(turn < 9000) AS append FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, conv_id % 2 <> 0 AS append FROM conversations GROUP BY conv_id")
 def can_append(spark, d):
+    """Half of the conversations get a message after all others, half one before them."""
     rows = load(spark, d, "conversations").select("conv_id", F.col("turn").alias("id"), F.col("turn").alias("created_at"), F.col("turn").alias("line_no"), F.col("turn").alias("place"))
-    return messages.can_append(rows, messages.merge(rows.drop("place"), rows.drop("place"), "conv_id"), "conv_id")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("created_at")) - 1)
+    new = rows.groupBy("conv_id").agg(F.max("id").alias("last")).select("conv_id", (F.col("last") + 1).alias("id"), F.when(F.col("conv_id") % 2 == 0, F.lit(-1)).otherwise(F.col("last") + 1).cast("bigint").alias("created_at"), (F.col("last") + 1).alias("line_no"))
+    return messages.can_append(rows, messages.merge(rows.drop("place"), new, "conv_id"), "conv_id")
 
 
 # -- topics, papers, news ------------------------------------------------------------------
@@ -649,7 +669,13 @@ def news_window(spark, d):
     return ranking.news_window(rows, F.col("b") - F.expr("INTERVAL 240 HOUR"), F.col("b")).select("news_id", "page_order")
 
 
-@query()
+HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?(?:</script\s*>|\z)', chr(1), 'g'), '(?is)<style\b.*?(?:</style\s*>|\z)', chr(1), 'g'), '(?s)<!--.*?(?:-->|\z)', chr(1), 'g'), '(?i)</?(?:div|li|p)\b[^>]*>|<br\b[^>]*>', ' ', 'g'), '<[/!?]?[A-Za-z][^>]*(?:>|\z)', chr(1), 'g')"""
+NAMED = ("quot", "&quot;", '"'), ("copy", "&copy;", "©"), ("middot", "&middot;", "·"), ("lt", "&lt;", "<"), ("gt", "&gt;", ">"), ("amp", "&amp;", "&")
+for _name, _, _sign in NAMED:
+    HTML = f"regexp_replace({HTML}, '&{_name};?', '{_sign}', 'g')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace(replace({HTML}, chr(1), ''), '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')) AS text FROM pages")
 def html_plain_text(spark, d):
     return load(spark, d, "pages").select("page_id", plain_text("html").alias("text"))
 
@@ -821,11 +847,6 @@ def allowed_paths(spark, d):
     return derive(spark, d, CHUNKS).where(X.allowed_path("path", ["digest", "~/x"])).select("path").distinct()
 
 
-@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS problem FROM documents")
-def name_problems(spark, d):
-    return load(spark, d, "documents").select("doc_id", X.name_error(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md"))).alias("problem"))
-
-
 # -- seen state ------------------------------------------------------------------------------
 
 ASKED = f"SELECT CAST(conv_id % 7 AS STRING) AS context_id, CAST(conv_id * 100 + turn AS BIGINT) AS rank, concat(path, '#', CAST(turn AS STRING)) AS id, path, start_line, end_line, turn FROM ({RANGES})"
@@ -837,7 +858,10 @@ def seen_ids(spark, d):
     return seen_state.unseen_ids(derive(spark, d, ASKED), derive(spark, d, GIVEN), 100, 50, 20).select("context_id", "id", *big("place"))
 
 
-@query()
+LIVE = f"SELECT context_id || '|' || path AS path, start_line, end_line FROM ({GIVEN}) WHERE 100 - ts < 50"
+
+
+@query(f"SELECT context_id, id, CAST(row_number() OVER (PARTITION BY context_id ORDER BY rank) AS INTEGER) AS place FROM ({ASKED}) a WHERE NOT EXISTS (SELECT 1 FROM ({MERGED.format(rows=LIVE)}) m WHERE m.path = a.context_id || '|' || a.path AND m.start_line <= a.start_line AND a.end_line <= m.end_line) QUALIFY place <= 20")
 def seen_ranges(spark, d):
     return seen_state.unseen_ranges(derive(spark, d, ASKED), derive(spark, d, GIVEN), 100, 50, 20).select("context_id", "id", "place")
 
@@ -847,8 +871,8 @@ def seen_ranges(spark, d):
 
 @query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_events(spark, d):
-    rows = load(spark, d, "events")
-    return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("window_start"), "event_type", "n")
+    counted = change_feed.windowed_counts(load(spark, d, "events"), "ts", "event_type", width="1 hour")
+    return counted.select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_start"), "event_type", "n")
 
 
 @query()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25, filters, fusion, graph, intervals, vector
+from ..operators.keyword_index import KeywordIndex
 from ..sources.files import is_session
 
 MOST, FACTOR, PLAIN_FACTOR, WEIGHT = 200, 5.0, 10, 0.7
@@ -48,29 +49,36 @@ def weight_of(value: object) -> float:
         return WEIGHT
 
 
-def keyword_branch(chunks: DataFrame, query: str, k: int, where: Column, stopwords: Sequence[str] | None = None) -> DataFrame:
-    """id, columns, score, rank."""
-    scored = bm25.score_texts(chunks.withColumn("_keep", where), query, "id", "text", [*COLUMNS, "_keep"], stopwords)
+def keyword_branch(chunks: DataFrame, query: str, k: int, where: Column | None, stopwords: Sequence[str] | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """id, columns, score, rank of what `where` lets through (None: all). index: a kept index of the chunks by their ids; without one all texts
+    are read."""
+    if index is not None:
+        scores = index.scores(query).withColumnRenamed("doc_id", "id").where("score > 0")
+        own = scores.join(chunks.where(where).select("id"), "id", "left_semi") if where is not None else scores
+        best = bm25.top_k(own, k, "id")  # k rows at most, so they are broadcast
+        return bm25.ranked(chunks.select("id", *COLUMNS).join(F.broadcast(best), "id").select("id", *COLUMNS, "score"), "id")
+    scored = bm25.score_texts(chunks.withColumn("_keep", F.lit(True) if where is None else where), query, "id", "text", [*COLUMNS, "_keep"], stopwords)
     best = bm25.top_k(scored.where("_keep").drop("_keep").withColumnRenamed("doc_id", "id"), k, "id")
     return bm25.ranked(best, "id")
 
 
-def vector_branch(chunks: DataFrame, query: Sequence[float], k: int, where: Column) -> DataFrame:
-    best = vector.top_k(chunks.where(where).select("id", *COLUMNS, "embedding"), query, k, "id")
+def vector_branch(chunks: DataFrame, query: Sequence[float], k: int, where: Column | None = None) -> DataFrame:
+    best = vector.top_k((chunks if where is None else chunks.where(where)).select("id", *COLUMNS, "embedding"), query, k, "id")
     return bm25.ranked(best, "id")
 
 
-def hybrid(chunks: DataFrame, query: str, query_vector: Sequence[float] | None, limit: int | None = None, min_score: float = 0.0, vector_weight: object = WEIGHT, search_filter: Mapping | None = None, start_date: object = None, end_date: object = None, strict_date_filter: bool = False, seen: DataFrame | None = None, factor: float = FACTOR, stopwords: Sequence[str] | None = None, always_both: bool = False, keep: int | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, query: str, query_vector: Sequence[float] | None, limit: int | None = None, min_score: float = 0.0, vector_weight: object = WEIGHT, search_filter: Mapping | None = None, start_date: object = None, end_date: object = None, strict_date_filter: bool = False, seen: DataFrame | None = None, factor: float = FACTOR, stopwords: Sequence[str] | None = None, always_both: bool = False, keep: int | None = None, index: KeywordIndex | None = None) -> DataFrame:
     """rank, id, path, start_line, end_line, text, score, vector, keyword of the best chunks. With a weight of 0 or 1 one branch isn't run, and scores
     are the other's own; min_score holds for whatever the score is. seen: ids (id) that were returned before. keep: rows to return if not `limit`, which still
     sets the number of candidates."""
     query, limit = checked(query, limit)
     w = weight_of(vector_weight)
-    where = filters.predicate(filters.normalized(search_filter, start_date, end_date, strict_date_filter))
+    asked = filters.normalized(search_filter, start_date, end_date, strict_date_filter)
+    where = filters.predicate(asked) if asked else None
     k = candidates(limit, factor)
     use_vector, use_keyword = query_vector is not None and (always_both or w > 0), always_both or w < 1 or query_vector is None
     v = vector_branch(chunks, query_vector, k, where) if use_vector else None
-    t = keyword_branch(chunks, query, k, where, stopwords) if use_keyword else None
+    t = keyword_branch(chunks, query, k, where, stopwords, index) if use_keyword else None
     if v is not None and t is not None:
         fused = both_or_one(v, t, w)
     else:
@@ -99,14 +107,14 @@ def both_or_one(v: DataFrame, t: DataFrame, w: float) -> DataFrame:
     return counted.withColumn("score", score).drop("nv", "nt")
 
 
-def keyword(chunks: DataFrame, query: str, limit: int | None = None, min_score: float = 0.0, seen: DataFrame | None = None, stopwords: Sequence[str] | None = None) -> DataFrame:
+def keyword(chunks: DataFrame, query: str, limit: int | None = None, min_score: float = 0.0, seen: DataFrame | None = None, stopwords: Sequence[str] | None = None, index: KeywordIndex | None = None) -> DataFrame:
     query, limit = checked(query, limit)
-    return plain(keyword_branch(chunks, query, candidates(limit, PLAIN_FACTOR), F.lit(True), stopwords), limit, min_score, seen)
+    return plain(keyword_branch(chunks, query, candidates(limit, PLAIN_FACTOR), None, stopwords, index), limit, min_score, seen)
 
 
 def nearest(chunks: DataFrame, query_vector: Sequence[float], limit: int | None = None, min_score: float = 0.0, seen: DataFrame | None = None) -> DataFrame:
     _, limit = checked("-", limit)
-    return plain(vector_branch(chunks, query_vector, candidates(limit, PLAIN_FACTOR), F.lit(True)), limit, min_score, seen)
+    return plain(vector_branch(chunks, query_vector, candidates(limit, PLAIN_FACTOR)), limit, min_score, seen)
 
 
 def plain(found: DataFrame, limit: int, min_score: float, seen: DataFrame | None) -> DataFrame:
@@ -123,7 +131,7 @@ def nodes(chunks: DataFrame, node_table: DataFrame, query: str, query_vector: Se
     query, limit = checked(query, limit)
     k = candidates(limit, factor)
     own = lambda found: fusion.first_per(found.where(X.under("path", digest)).select("path", "rank"), "path")
-    fused = fusion.fuse_nodes(own(vector_branch(chunks, query_vector, k, F.lit(True))), own(keyword_branch(chunks, query, k, F.lit(True), stopwords)), vector_weight)
+    fused = fusion.fuse_nodes(own(vector_branch(chunks, query_vector, k)), own(keyword_branch(chunks, query, k, None, stopwords)), vector_weight)
     best = fused.orderBy(F.desc("score"), "path").limit(limit)
     return best.join(node_table.select("path", "name", "description"), "path", "left").select("path", F.round("score", 4).alias("score"), F.trim(F.coalesce("name", F.lit(""))).alias("name"), F.trim(F.coalesce("description", F.lit(""))).alias("description"))
 

@@ -98,7 +98,7 @@ def stat(files: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
 
 def images(files: DataFrame, most: int = 5 << 20) -> DataFrame:
     """path, mime, length, base64 of images; large ones without their bytes."""
-    return files.select("path", X.image_type("path").alias("mime"), "length", F.when(F.col("length") <= most, F.base64("content")).alias("base64")).where("mime IS NOT NULL")
+    return files.select("path", X.image_type("path").alias("mime"), "length", F.when(F.col("length") <= most, F.replace(F.base64("content"), F.lit("\r\n"), F.lit(""))).alias("base64")).where("mime IS NOT NULL")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import ann, bm25, changes, evaluation, filters, fusion, graph, intervals, messages, notes, ranking, topics, vector
+from quillspark.operators import ann, bm25, changes, evaluation, filters, fusion, graph, intervals, keyword_index, messages, notes, ranking, topics, vector
 from quillspark.plans import llm_columns, queries, search
 
 
@@ -39,8 +39,6 @@ def test_bm25_index_agrees_and_is_kept(spark, corpus, tmp_path):
     assert (stats["n_docs"], stats["total_len"]) == (5, 17)
     direct = {r["doc_id"]: round(r["score"], 9) for r in bm25.score_texts(corpus, "apple cream").where("score > 0").collect()}
     assert {r["doc_id"]: round(r["score"], 9) for r in bm25.score_index(index, bm25.corpus_stats(index), ["apple", "cream"]).collect()} == direct
-    bm25.write_index(index, str(tmp_path / "i"))
-    assert [r["doc_id"] for r in bm25.search_index(spark, str(tmp_path / "i"), "cream", 5).collect()] == ["low", "mid"]
     less = bm25.without_docs(index, spark.createDataFrame([("high",)], "doc_id string"))
     assert bm25.corpus_stats(less).first()["n_docs"] == 4
     more = bm25.with_docs(index, spark.createDataFrame([("mid", "pear"), ("new", "pear pie")], "doc_id string, text string"))
@@ -103,6 +101,46 @@ def test_cells_of_odd_rows(spark, monkeypatch):
     assert ann.search(ann.index(none, ann.fit(none, 8)), asked, ann.fit(none, 8), 5).collect() == []
 
 
+def test_a_kept_index(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyword_index, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(keyword_index, "FILE_ROWS", 2)
+    monkeypatch.setattr(keyword_index, "MOST_CHANGES", 3)
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "i"))
+    assert not index.fits()
+    index.build(corpus)
+    found = lambda q, k=5: [(r["doc_id"], round(r["score"], 9)) for r in index.search(q, k).collect()]
+
+    def fresh(docs, q):
+        return [(r["doc_id"], round(r["score"], 9)) for r in bm25.top_k(bm25.score_texts(docs, q), 5).collect()]
+
+    assert index.fits() and index.state()[1] > 1
+    for q in ("apple", "cream pie", "苹果", "unknown", "", "apple apple"):
+        assert found(q) == fresh(corpus, q)
+    plan = index.scores("apple")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    now = corpus
+    for k in range(6):
+        index.delete(spark.createDataFrame([("high",)] if k == 1 else [("nobody",)], "doc_id string"))
+        new = spark.createDataFrame([("mid", f"pear cream {'apple ' * k}"), (f"n{k}", "pie")], "doc_id string, text string")
+        index.upsert(new)
+        now = now.where("doc_id <> 'high'") if k == 1 else now
+        now = now.join(new, "doc_id", "left_anti").unionByName(new)
+        assert len(index.folders()) <= 5
+        for q in ("apple", "cream pie"):
+            assert found(q) == fresh(now, q)
+    index.optimize(now)
+    assert len(index.folders()) == 1 and found("apple pie") == fresh(now, "apple pie")
+    index.delete(now.select("doc_id"))
+    assert found("apple") == [] and index.state()[2:] == (0, 0)
+    index.upsert(now)
+    other = keyword_index.KeywordIndex(spark, str(tmp_path / "i"), stopwords=["apple"])
+    assert not other.fits()
+    with pytest.raises(ValueError):
+        other.upsert(now)
+    other.optimize(now)
+    assert other.fits() and other.search("apple", 5).collect() == [] and len(other.search("cream", 5).collect()) > 0
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([("shared", 0.9, 1), ("v2", 0.8, 2)], "id string, score double, rank int")
     k = spark.createDataFrame([("k1", 9.0, 1), ("shared", 8.0, 2)], "id string, score double, rank int")

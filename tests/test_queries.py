@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
+from quillspark.operators import chunkers
+from quillspark.plans import row_queries  # noqa: F401  registers more
 from quillspark.plans.queries import ORACLES, QUERIES
 
 from .compare import connect, difference
