@@ -218,20 +218,6 @@ def rrf_node_level(spark, d):
     return search.nodes(chunks, table, TERMS, first_vector(spark, d), 20).select("path", "score", "name")
 
 
-@query()
-def search_answer(spark, d):
-    chunks = embedded_chunks(spark, d)
-    found = search.hybrid(chunks, TERMS, first_vector(spark, d), 5)
-    links = derive(spark, d, f"SELECT c.path AS source_path, b.path AS target_path, CAST(NULL AS STRING) AS target_anchor, 0 AS idx FROM ({CHUNKS}) c JOIN ({CHUNKS}) b ON b.doc_id = (c.doc_id * 7 + 3) % 200")
-    return search.answer(found, links, chunks.select("path", F.lit("a note").alias("name"), F.lit("").alias("description")))
-
-
-@query()
-def search_passages(spark, d):
-    seen = derive(spark, d, f"SELECT path, start_line, end_line FROM ({CHUNKS}) WHERE doc_id < 5")
-    return search.passages(embedded_chunks(spark, d), TERMS, first_vector(spark, d), 8, seen_ranges=seen)
-
-
 # -- filters -----------------------------------------------------------------------
 
 DAY = r"regexp_extract(path, '^[^/]+/(\d{4}-\d{2}-\d{2})(?:\.md$|/|$)', 1)"
@@ -358,12 +344,47 @@ def link_expansion(spark, d):
     return graph.expand(nodes.select("path"), links, nodes, 10).select("path", "direction", *big("nth"), "neighbour", "name", "description")
 
 
-@query()
+def expansion_sql(links: str, nodes: str) -> str:
+    """path, lines: what render_expansion says of all nodes, ten neighbours a direction."""
+    side = lambda way, path, other: f"SELECT '{way}' AS direction, {path} AS path, {other} AS neighbour, min(idx) AS i, list(target_anchor ORDER BY idx, target_anchor) FILTER (length(target_anchor) > 0) AS anchors FROM l GROUP BY {path}, {other}"
+    return f"""WITH l AS ({links}), n AS ({nodes}), a AS ({side("outlinks", "source_path", "target_path")} UNION ALL {side("inlinks", "target_path", "source_path")}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY direction, path ORDER BY CASE WHEN direction = 'outlinks' THEN CAST(i AS VARCHAR) ELSE neighbour END, neighbour) AS nth FROM a QUALIFY nth <= 10),
+  b AS (SELECT r.path, direction, nth, '    ' || CASE WHEN direction = 'outlinks' THEN '→' ELSE '←' END || ' ' || neighbour || '  ' || coalesce(nullif(concat_ws('  ', CASE WHEN length(n.name) > 0 THEN 'name="' || n.name || '"' END, CASE WHEN length(n.description) > 0 THEN 'description="' || n.description || '"' END), ''), '(no meta)')
+    || coalesce(array_to_string(list_transform(anchors, lambda x: chr(10) || '          via anchor=#' || x), ''), '') AS block FROM r LEFT JOIN n ON n.path = r.neighbour WHERE r.path IN (SELECT path FROM n)),
+  s AS (SELECT path, direction, '  ' || direction || ' (' || count(*) || '):' || chr(10) || string_agg(block, chr(10) ORDER BY nth) AS side FROM b GROUP BY path, direction)
+  SELECT path, string_agg(side, chr(10) ORDER BY CASE direction WHEN 'outlinks' THEN 0 ELSE 1 END) AS lines FROM s GROUP BY path"""
+
+
+@query(expansion_sql(LINKS, NODES))
 def link_expansion_text(spark, d):
     links, nodes = the_graph(spark, d)
     return graph.render_expansion(graph.expand(nodes.select("path"), links, nodes, 10))
 
 
+ANSWER_LINKS = f"SELECT c.path AS source_path, b.path AS target_path, CAST(NULL AS STRING) AS target_anchor, 0 AS idx FROM ({CHUNKS}) c JOIN ({CHUNKS}) b ON b.doc_id = (c.doc_id * 7 + 3) % 200"
+
+
+@query(
+    f"""WITH e AS ({expansion_sql(ANSWER_LINKS, f"SELECT path, 'a note' AS name, '' AS description FROM ({CHUNKS})")}), found AS ({lists(25)}, f AS ({FUSED.format(w=0.7, u='(1.0 - 0.7::DOUBLE)')}) {RANKED.format(n=5)})
+  SELECT string_agg(concat_ws(chr(10), '========== ' || c.path || ':1-10 [score=' || printf('%.4f', score) || '] ==========' || chr(10) || text, lines), chr(10) ORDER BY rank) AS answer FROM found JOIN ({CHUNKS}) c ON c.doc_id = found.doc_id LEFT JOIN e ON e.path = c.path"""
+)
+def search_answer(spark, d):
+    chunks = embedded_chunks(spark, d)
+    found = search.hybrid(chunks, TERMS, first_vector(spark, d), 5)
+    return search.answer(found, derive(spark, d, ANSWER_LINKS), chunks.select("path", F.lit("a note").alias("name"), F.lit("").alias("description")))
+
+
+@query(
+    f"""WITH found AS ({lists(40)}, f AS ({FUSED.format(w=0.7, u='(1.0 - 0.7::DOUBLE)')}) {RANKED.format(n=400)})
+  SELECT row_number() OVER (ORDER BY rank) AS place, path, start_line, end_line, text, score FROM found JOIN ({CHUNKS}) c ON c.doc_id = found.doc_id WHERE c.doc_id >= 5 QUALIFY place <= 8"""
+)
+def search_passages(spark, d):
+    """What the first five documents have was given before."""
+    seen = derive(spark, d, f"SELECT path, start_line, end_line FROM ({CHUNKS}) WHERE doc_id < 5")
+    found = search.passages(embedded_chunks(spark, d), TERMS, first_vector(spark, d), 8, seen_ranges=seen)
+    return found.select(*big("place"), "path", "start_line", "end_line", "text", F.round("score", 6).alias("score"))
+
+
 def walk_sql(direction: str, depth: int) -> tuple[str, str]:
     ways = {"forward": "SELECT source_path AS here, target_path AS there, * FROM l", "backward": "SELECT target_path AS here, source_path AS there, * FROM l"}
     both = ways["forward"] + " UNION ALL " + ways["backward"] if direction == "both" else ways[direction]
