@@ -9,6 +9,9 @@ Every byte that a string of `length` bytes covers goes if that string also start
    in a row that share it make one string. Each unit sends its different strings, with the least id of a document that
    holds them, to a shard given by that minimizer. So equal windows meet in one shard, whatever unit or place they come
    from, and a passage in many documents is one string per unit.
+   A minimizer that very many units have (HOT_UNITS) would bring a string from each to one shard. Units learn that with their marks, and
+   deal its windows out one by one, by a hash of all their bytes. Short minimizers are common at any size (a phrase of 16 bytes), so with
+   every SALT_BYTES of input each of them is dealt out to one shard more, by the long minimizer beside it.
 3. A shard sorts the suffixes of its strings (see suffix_sort), finds neighbours with common prefixes of `length` bytes, and
    tells for every window the least id of a document that has it. Units remove what others have first.
 
@@ -31,11 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import blocks, mix, tidied, utf8
+from .ngrams import slice_hashes
 from .suffix_sort import permuted_prefixes, suffix_array
 
 LENGTH, GRAM, SHORT = 50, 32, 16
 #: Bytes of text in a unit; minimizers in a bucket (about a tenth of the bytes are minimizers).
 UNIT_BYTES, BUCKET_SIZE = 6 << 20, 1 << 20
+#: Units that a minimizer may occur in before its windows are dealt out singly; bytes of input for each shard of a short minimizer.
+HOT_UNITS, SALT_BYTES = 1024, 1 << 36
 WHOLE = (1 << 63) - 1
 
 
@@ -113,6 +119,7 @@ class Plan:
         self.wide = self.bucket_bits > 16
         self.bits = 64 if self.wide else self.bucket_bits + 32
         self.shards = 4 * self.units
+        self.hot, self.salts = HOT_UNITS, 1 + total_bytes // SALT_BYTES
 
     def shard(self, value: np.ndarray) -> np.ndarray:
         return (mix(value + np.uint64(0x632BE59BD9B4E019)) % np.uint64(self.shards)).astype(np.int64)
@@ -129,32 +136,47 @@ class Unit:
         self.flat, self.at, self.value, self.doc, self.start, self.count = minimizer_runs(column, plan.length, plan.bits)
         self.distinct, self.shared, self.place = distinct_minimizers(self.value, self.ids[self.doc] if len(self.doc) else self.doc)
 
-    def strings(self, repeated: np.ndarray) -> None:
-        """repeated: for each of the distinct minimizers, whether two documents of any unit have it. Sets `texts`, the different
-        strings by shard and then by first place, their shards, their least ids and windows; of the places where they stand:
+    def strings(self, repeated: np.ndarray, hot: np.ndarray) -> None:
+        """For each of the distinct minimizers: whether two documents of any unit have it, and whether very many units do. Sets `texts`, the
+        different strings by shard and then by first place, their shards, their least ids and windows; of the places where they stand:
         `begin`, `n` windows, `at_doc`, and `of`, the string."""
-        value, doc, begin, n = self.shard_runs(np.flatnonzero(repeated[self.place]) if len(self.place) else self.place)
+        none = np.zeros(0, np.int64)
+        runs = self.shard_runs(np.flatnonzero((repeated & ~hot)[self.place]) if len(self.place) else none)
+        single = self.single_windows(np.flatnonzero(hot[self.place]) if len(self.place) else none)
+        value, doc, begin, n = (np.concatenate(x) for x in zip(runs, single, strict=True))
         data, table = self.flat.tobytes(), {}
         end = begin + n + self.plan.length - 1
         of = np.fromiter((table.setdefault(data[a:b], len(table)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
-        fresh = np.concatenate(([True], of[1:] > np.maximum.accumulate(of)[:-1])) if len(of) else np.zeros(0, bool)
-        own = np.flatnonzero(fresh)
+        # the least id comes from the first place in the order of documents, which single windows are out of
+        least = np.full(len(table), WHOLE)
+        np.minimum.at(least, of, self.ids[doc])
+        own = np.full(len(table), len(of))
+        np.minimum.at(own, of, np.arange(len(of)))
         shard = self.plan.shard(value[own])
         order = np.argsort(shard, kind="stable")
         texts = list(table)
         self.texts, self.shard = [texts[i] for i in order.tolist()], shard[order]
-        self.least, self.windows = self.ids[doc[own]][order], n[own][order]
+        self.least, self.windows = least[order], n[own][order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.begin, self.n, self.at_doc, self.of = begin, n, doc, rank[of]
 
+    def single_windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows in the given runs, each by itself: a hash of its bytes, its document, first byte and 1."""
+        n = self.count[runs]
+        begin = np.repeat(self.start[runs], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        value = slice_hashes(self.flat, begin, begin + self.plan.length) if len(begin) else np.zeros(0, np.uint64)
+        return value, np.repeat(self.doc[runs], n), begin, np.ones(len(begin), np.int64)
+
     def shard_runs(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows in the given runs, joined where they touch: runs of windows with one short minimizer. Their minimizers,
+        """Of windows in the given runs, joined where they touch: runs of windows with one short minimizer (and one salt). Their keys,
         documents, first bytes and numbers of windows."""
         begin, n, doc = self.start[runs], self.count[runs], self.doc[runs]
+        salt = mix(self.value[runs] + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.plan.salts)
         apart = np.concatenate(([True], (begin[1:] != begin[:-1] + n[:-1]) | (doc[1:] != doc[:-1]))) if len(runs) else np.zeros(0, bool)
         first = np.flatnonzero(apart)
         total = np.add.reduceat(n, first) if len(first) else first
+        salts, salt_at = np.repeat(salt, n), np.concatenate(([0], np.cumsum(total)))
         begin, doc = begin[first], doc[first]
         out: list[list[np.ndarray]] = [[], [], [], []]
         size = total + self.plan.length - 1
@@ -166,7 +188,7 @@ class Unit:
             low = window_minimizers(self.flat[place], self.plan.length, short=True)
             stretch = np.repeat(np.arange(stop - k), own)[: len(low)]
             where = np.flatnonzero(np.arange(len(low)) + self.plan.length <= at[1:][stretch])
-            low, stretch = low[where], stretch[where]
+            low, stretch = mix(low[where] + salts[salt_at[k] : salt_at[stop]]), stretch[where]
             head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (stretch[1:] != stretch[:-1]))))
             for x, y in zip(out, (low[head], doc[k:stop][stretch[head]], place[where[head]], np.diff(np.append(head, len(low)))), strict=True):
                 x.append(y)
@@ -180,7 +202,9 @@ class Unit:
         inside = np.arange(int(self.n.sum())) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         doc = np.repeat(self.at_doc, self.n)
         hit = np.flatnonzero(owner[np.repeat(first[self.of], self.n) + inside] < self.ids[doc])
-        start, doc = (np.repeat(self.begin, self.n) + inside)[hit], doc[hit]
+        start = (np.repeat(self.begin, self.n) + inside)[hit]
+        order = np.argsort(start, kind="stable")
+        start, doc = start[order], doc[hit][order]
         if not len(start):
             return doc, start, start
         cut_at = np.flatnonzero((start[1:] > start[:-1] + self.plan.length) | (doc[1:] != doc[:-1]))
@@ -216,7 +240,7 @@ def send_minimizers(plan: Plan) -> Callable[[tuple, pa.Table], pa.Table]:
 
 
 def mark_repeated(plan: Plan) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Of a bucket: tells each unit which of its minimizers occur in two documents."""
+    """Of a bucket: tells each unit which of its minimizers occur in two documents, and which in very many units."""
     kind = np.uint64 if plan.wide else np.uint32
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -228,27 +252,32 @@ def mark_repeated(plan: Plan) -> Callable[[tuple, pa.Table], pa.Table]:
         order = np.argsort(v, kind="stable")
         fresh = np.concatenate(([True], v[order][1:] != v[order][:-1]))
         group = np.cumsum(fresh) - 1
-        many = np.bincount(group) > 1
-        many |= np.bincount(group, marked[order]) > 0
-        out = np.empty(len(v), bool)
-        out[order] = many[group]
+        units = np.bincount(group)
+        many = (units > 1) | (np.bincount(group, marked[order]) > 0)
+        out, hot = np.empty(len(v), bool), np.empty(len(v), bool)
+        out[order], hot[order] = many[group], (units > plan.hot)[group]
         at = np.concatenate(([0], np.cumsum(sizes)))
-        return message(got["unit"], 0, [key[0].as_py()] * len(sizes), [np.array([n], "<i8").tobytes() for n in sizes], [np.packbits(out[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)])
+        return message(got["unit"], 0, [key[0].as_py()] * len(sizes), [np.array([n], "<i8").tobytes() for n in sizes], [np.packbits(out[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes() for a, b in zip(at, at[1:], strict=False)])
 
     return run
 
 
-def marks_of(rows: pa.Table) -> np.ndarray:
-    """The unit's marks for its distinct minimizers, from messages of kind 0."""
+def marks_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The unit's marks for its distinct minimizers (repeated, and hot), from messages of kind 0."""
     got = grouped(rows)
-    parts = [(k, np.unpackbits(np.frombuffer(d, np.uint8), count=int(np.frombuffer(n, "<i8")[0]))) for kind, k, n, d in zip(got["kind"], got["at"], got["lens"], got["data"], strict=True) if kind == 0]
-    return np.concatenate([p for _, p in sorted(parts, key=lambda x: x[0])]).astype(bool) if parts else np.zeros(0, bool)
+    parts = []
+    for kind, k, n, d in zip(got["kind"], got["at"], got["lens"], got["data"], strict=True):
+        if kind == 0:
+            bits, n = np.frombuffer(d, np.uint8), int(np.frombuffer(n, "<i8")[0])
+            parts.append((k, np.unpackbits(bits[: len(bits) // 2], count=n), np.unpackbits(bits[len(bits) // 2 :], count=n)))
+    parts.sort(key=lambda x: x[0])
+    return tuple(np.concatenate([p[i] for p in parts]).astype(bool) if parts else np.zeros(0, bool) for i in (1, 2))
 
 
 def send_strings(plan: Plan) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     def run(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         unit = Unit(rows, plan)
-        unit.strings(marks_of(marks))
+        unit.strings(*marks_of(marks))
         shard = unit.shard
         first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else shard
         spans = list(zip(first.tolist(), np.append(first[1:], len(shard)).tolist(), strict=True))
@@ -367,7 +396,7 @@ def dedupe(docs: DataFrame, finish: Callable[[Unit, Spans], pa.Table], schema: s
 
     def remove(key: tuple, rows: pa.Table, messages: pa.Table) -> pa.Table:
         own = Unit(rows, plan)
-        own.strings(marks_of(messages))
+        own.strings(*marks_of(messages))
         return finish(own, own.removed(owners_of(messages)))
 
     return dealt.groupBy("__unit").cogroup(marks.unionByName(owners).groupBy("unit")).applyInArrow(tidied(remove), schema)

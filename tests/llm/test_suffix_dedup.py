@@ -44,10 +44,13 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("unit_bytes", [1 << 24, 40_000])
-def test_digests_equal_brute_force(spark, monkeypatch, unit_bytes):
+@pytest.mark.parametrize(("unit_bytes", "hot_units", "salt_bytes"), [(1 << 24, 1024, 1 << 36), (40_000, 1024, 1 << 36), (40_000, 1, 1 << 36), (40_000, 3, 20_000), (40_000, 0, 1 << 10)])
+def test_digests_equal_brute_force(spark, monkeypatch, unit_bytes, hot_units, salt_bytes):
+    """hot_units: windows in so many units are dealt out singly (0: all); salt_bytes: as for larger inputs."""
     monkeypatch.setattr(sd, "UNIT_BYTES", unit_bytes)
-    if unit_bytes < 1 << 20:
+    monkeypatch.setattr(sd, "HOT_UNITS", hot_units)
+    monkeypatch.setattr(sd, "SALT_BYTES", salt_bytes)
+    if salt_bytes < 1 << 20:
         monkeypatch.setattr(sd, "BUCKET_SIZE", 1)  # as many buckets as for 10 TB
     rows = made(1)
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, unit int")
