@@ -44,6 +44,15 @@ def can_append(existing: DataFrame, merged: DataFrame, *key: str, id: str = "id"
     return joined.groupBy(*key).agg(F.bool_and(F.coalesce(F.col("place") == F.col("old_place"), F.lit(False))).alias("append"))
 
 
+def sessions(rows: DataFrame, *key: str, at: str = "created_at") -> DataFrame:
+    """key, n, first_at, last_at of the stored conversations, the latest first."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at")).orderBy(F.desc("last_at"), *key)
+
+
+def without_sessions(rows: DataFrame, gone: DataFrame, *key: str) -> DataFrame:
+    return rows.join(gone.select(*key).distinct(), list(key), "left_anti")
+
+
 def new_rows(rows: DataFrame, stored: DataFrame, *key: str) -> DataFrame:
     """Rows whose key isn't stored yet, each key once."""
     return rows.dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .lineage import kept
 
 
 def literal(vector: Sequence[float]):
@@ -50,6 +53,24 @@ def reuse_vectors(new: DataFrame, old: DataFrame, dim: int) -> DataFrame:
     return new.drop("embedding").join(held, ["id", "text"], "left")
 
 
+def space_id(model: str, endpoint: str, dim: int) -> str:
+    """A name of the space that a model's vectors lie in; vectors of different spaces aren't compared."""
+    return hashlib.sha256(json.dumps([model, endpoint.rstrip("/"), dim]).encode()).hexdigest()[:16]
+
+
+def backfilled(chunks: DataFrame, cache: DataFrame, space: str, dim: int, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """chunks (id, text, embedding, ...) in which every one has a vector of the right size: its own, else that of its text in the cache (space,
+    key, embedding), else a new one; each text is embedded once. And the cache's new rows."""
+    key = F.sha2("text", 256)
+    need = missing_vectors(chunks, dim).select(key.alias("key"), "text").distinct()
+    known = cache.where((F.col("space") == space) & (F.size("embedding") == dim)).select("key", F.col("embedding").alias("held")).dropDuplicates(["key"])
+    fresh = kept(need.join(known, "key", "left_anti").select(F.lit(space).alias("space"), "key", embed(F.col("text")).cast("array<float>").alias("embedding")))
+    all_known = known.unionByName(fresh.select("key", F.col("embedding").alias("held")))
+    own = F.when(F.size("embedding") == dim, F.col("embedding"))
+    filled = chunks.withColumn("key", key).join(all_known, "key", "left").withColumn("embedding", F.coalesce(own, "held")).select(*chunks.columns)
+    return filled, fresh
+
+
 def content_digest(rows: DataFrame, id: str = "id", embedding: str = "embedding") -> DataFrame:
     """One row that changes with any id or vector (to 2**-40 in each component), whatever their order: the count, and a sum of hashes."""
     said = F.concat(F.col(id).cast("string"), F.lit(":"), F.array_join(F.transform(embedding, lambda x: F.floor(x.cast("double") * (1 << 40)).cast("string")), ","))

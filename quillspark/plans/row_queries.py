@@ -12,7 +12,7 @@ from ..operators.keyword_index import KeywordIndex
 from ..operators.lineage import shared_folder
 from ..sources import files
 from . import search
-from .queries import RANKED, TERMS, bm25_sql, embedded_chunks, first_vector, lists, query, shown
+from .queries import ANSWER_LINKS, RANKED, TERMS, bm25_sql, embedded_chunks, expansion_sql, first_vector, lists, query, shown
 from .queries import FUSED as FUSED_SQL
 from .tables import CHUNKS, LINKS, NODES, NOTES, derive, load
 
@@ -193,6 +193,15 @@ def day_windows(spark, d):
     return load(spark, d, "events").groupBy("user_id").agg(w.alias("w")).select("user_id", F.element_at("w", -1).cast("string").alias("last"), F.get("w", F.lit(0)).cast("string").alias("first"), F.size("w").cast("bigint").alias("days"))
 
 
+@query("SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_at, epoch_us(max(ts)) AS last_at FROM events WHERE user_id % 5 <> 0 GROUP BY user_id")
+def session_list(spark, d):
+    """The stored sessions, when a fifth of them is deleted."""
+    rows = load(spark, d, "events")
+    left = messages.without_sessions(rows, rows.where("user_id % 5 = 0"), "user_id")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    return messages.sessions(left, "user_id", at="ts").select("user_id", "n", micros("first_at"), micros("last_at"))
+
+
 # -- store, graph ------------------------------------------------------------------
 
 OLD_NODES = "SELECT concat('n/', CAST(c_custkey AS STRING)) AS path, CAST(1 AS DOUBLE) AS st_mtime, c_name AS name, '' AS description FROM customer"
@@ -229,6 +238,25 @@ def vectors_reused(spark, d):
     return vector.reuse_vectors(new["chunks"], old["chunks"], 2).select("path", F.col("embedding").isNotNull().alias("reused"))
 
 
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'own' WHEN vec_id < 100 THEN 'cache' ELSE 'new' END AS way FROM embeddings")
+def embedding_backfill(spark, d):
+    """Two thirds lack a vector; some of their texts are in the cache."""
+    value = lambda x: F.array(F.lit(float(x)), F.lit(0.0)).cast("array<float>")
+    v = F.col("vec_id")
+    chunks = load(spark, d, "embeddings").select("vec_id", v.cast("string").alias("id"), F.concat(F.lit("text "), v.cast("string")).alias("text"), F.when(v % 3 == 0, value(1)).alias("embedding"))
+    space = vector.space_id("model", "http://there/", 2)
+    cache = chunks.where("vec_id < 100").select(F.lit(space).alias("space"), F.sha2("text", 256).alias("key"), value(2).alias("embedding"))
+    filled, _ = vector.backfilled(chunks, cache, space, 2, lambda text: value(3))
+    return filled.select("vec_id", F.element_at(F.array(F.lit("own"), F.lit("cache"), F.lit("new")), F.get("embedding", F.lit(0)).cast("int")).alias("way"))
+
+
+@query(f"WITH e AS ({expansion_sql(ANSWER_LINKS, f"SELECT path, 'a note' AS name, '' AS description FROM ({CHUNKS})")}) SELECT c.path, concat_ws(chr(10), array_to_string(list_slice(string_split(rtrim(text, chr(10)), chr(10)), 2, 3), chr(10)), lines) AS answer FROM ({CHUNKS}) c LEFT JOIN e ON e.path = c.path WHERE NOT ends_with(text, chr(10) || chr(10))")
+def read_with_neighbours(spark, d):
+    rows = derive(spark, d, CHUNKS)
+    found = search.read(rows.select("path", "text"), derive(spark, d, ANSWER_LINKS), rows.select("path", F.lit("a note").alias("name"), F.lit("").alias("description")), 2, 3)
+    return found.join(rows.where(~F.col("text").endswith("\n\n")).select("path"), "path", "left_semi")
+
+
 @query(f"SELECT path, st_mtime FROM ({NEW_NODES}) UNION ALL SELECT path, st_mtime FROM ({OLD_NODES}) WHERE path NOT IN (SELECT path FROM ({NEW_NODES}))")
 def catalog_upsert(spark, d):
     return store.catalog_upsert(derive(spark, d, OLD_NODES).select("path", "st_mtime"), derive(spark, d, NEW_NODES).select("path", "st_mtime"), "path")

@@ -159,3 +159,12 @@ def answer(found: DataFrame, links: DataFrame | None = None, node_table: DataFra
     if links is not None and node_table is not None:
         rows = rows.join(graph.render_expansion(graph.expand(rows, links, node_table, cap)), "path", "left").withColumn("block", F.concat_ws("\n", "block", "lines"))
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, "block"))), lambda x: x["block"]), "\n").alias("answer"))
+
+
+def read(texts: DataFrame, links: DataFrame, node_table: DataFrame, start: int = 1, end: int | None = None, cap: int = 10) -> DataFrame:
+    """path, answer: lines start to end of notes (path, text), and under them their neighbours."""
+    own = X.lines("text")
+    part = F.slice(own, F.lit(max(1, start)), F.greatest(F.lit(0), (F.size(own) if end is None else F.lit(end)) - max(1, start) + 1))
+    rows = texts.select("path", F.array_join(part, "\n").alias("part"))
+    around = graph.render_expansion(graph.expand(rows.select("path"), links, node_table, cap))
+    return rows.join(around, "path", "left").select("path", F.concat_ws("\n", "part", "lines").alias("answer"))

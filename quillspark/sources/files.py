@@ -127,6 +127,24 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("lineSep", "\n").option("mode", "PERMISSIVE").json(path)
 
 
+def jsonl_zst(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same of files compressed with Zstandard, which are read as a stream: a task holds a compressed file and a megabyte of its text."""
+    import io
+
+    import pyarrow as pa
+    import zstandard
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True), "utf-8", newline="\n")
+                while part := text.readlines(1 << 20):
+                    yield pa.RecordBatch.from_arrays([pa.array([line.rstrip("\n") for line in part], pa.string())], names=["line"])
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string")
+    return lines.select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
 def newest_session(files: DataFrame, session: str) -> DataFrame:
     """path of the newest `*/<session>.jsonl`."""
     return files.where(F.substring_index("path", "/", -1) == f"{session}.jsonl").agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))

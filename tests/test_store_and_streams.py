@@ -6,6 +6,7 @@ import random
 import time
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quillspark.operators.store import Store, build, catalog_delete, catalog_upsert
@@ -74,6 +75,13 @@ def test_lines_and_sessions(spark, tmp_path):
     assert [r["a"] for r in files.jsonl(spark, str(tmp_path / "r.jsonl"), "a int").collect()] == [1, None]
 
 
+def test_compressed_lines(spark, tmp_path):
+    raw = "".join(json.dumps({"a": i, "t": "é\u2028x" * 20}) + "\n" for i in range(5000))
+    (tmp_path / "x.jsonl.zst").write_bytes(zstandard.compress(raw.encode()) + zstandard.compress(b'{"a": -1}\nbad'))
+    got = files.jsonl_zst(spark, str(tmp_path / "x.jsonl.zst"), "a int, t string").collect()
+    assert sorted(str(r["a"]) for r in got) == sorted([*map(str, range(-1, 5000)), "None"]) and {r["t"] for r in got if r["a"] is not None and r["a"] >= 0} == {"é\u2028x" * 20}
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("d/a.md", "x"), ("d/e/b.md", None)], "path string, text string")
     assert sorted(tuple(r) for r in writers.write_texts(df, str(tmp_path)).collect()) == [("d/a.md", 1), ("d/e/b.md", 0)]
