@@ -119,7 +119,7 @@ def test_a_kept_index(spark, corpus, tmp_path, monkeypatch):
     plan = index.scores("apple")._jdf.queryExecution().toString()
     assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
     now = corpus
-    for k in range(6):
+    for k in range(3):
         index.delete(spark.createDataFrame([("high",)] if k == 1 else [("nobody",)], "doc_id string"))
         new = spark.createDataFrame([("mid", f"pear cream {'apple ' * k}"), (f"n{k}", "pie")], "doc_id string, text string")
         index.upsert(new)
