@@ -151,16 +151,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = cut(families(docs, doc_id, text))
     first = rows.groupBy("family").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "digest")).alias("first"))
     stays = (F.col("digest") == F.col("first.digest")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-    by_id = cut(rows.join(first, "family").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(stays.cast("int")).alias("first"), F.collect_set(F.when(stays, F.col("digest"))).alias("digests")))
+    told = rows.join(first, "family").select("doc_id", "digest", stays.alias("stays"))
+    by_id = cut(told.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("stays").cast("int")).alias("first")))
     ids = lambda which, name: by_id.where(which).select(F.col("doc_id").alias(name))
     gone = ids("first = 0 OR n > 1", "__gone")
     kept = docs.join(small_side(gone), docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
-    if ids("first > 0 AND n > 1", "doc_id").isEmpty():
+    mixed = ids("first > 0 AND n > 1", "__id")
+    if mixed.isEmpty():
         return kept
     # ids with several rows, of which some stay: decided row by row
     names = docs.columns
-    several = by_id.where("first > 0 AND n > 1").select(F.col("doc_id").alias("__id"), F.explode("digests").alias("__first"))
-    own = docs.join(several.select("__id").distinct(), docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    several = told.where("stays").select("doc_id", F.col("digest").alias("__first")).distinct().join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).select("__id", "__first")
+    own = docs.join(mixed, docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_semi")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, text):
