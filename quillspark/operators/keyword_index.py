@@ -9,6 +9,7 @@ token isn't one task. The base names its tokenizer: an index that another one ha
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
@@ -45,9 +46,7 @@ class KeywordIndex(Versions):
         return bm25.postings(docs.select(F.col(id).cast(self.id_type).alias("doc_id"), F.col(text).alias("text")), stopwords=self.stopwords)
 
     def _save(self, postings: DataFrame, gone: DataFrame | None, buckets: int | None, before: tuple[int, int] = (0, 0)) -> str:
-        """Writes a base or a change. before: documents and their length that stay from earlier."""
-        import uuid
-
+        """Writes a base or a change, and names its folder. before: documents and their length that stay from earlier."""
         folder = f"{self.path}/{(name := uuid.uuid4().hex)}"
         postings = kept(postings)
         rows = postings.count()

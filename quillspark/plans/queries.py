@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrow as A
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.pages import plain_text

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+import io
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
@@ -107,16 +110,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).withColumn("id", F.monotonically_increasing_id())
     part = F.shiftright("id", 33)
     before = lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     offsets = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
     return lines.withColumn("part", part).join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("no"), "value")
 
 
 def line_range(lines: DataFrame, start: int, end: int, most_bytes: int = 100 * 1024) -> DataFrame:
     """no, value of lines start to end, as long as they hold most_bytes at most together."""
-    from pyspark.sql import Window
-
     picked = lines.where(F.col("no").between(start, end))
     used = F.sum(F.octet_length("value") + 1).over(Window.orderBy("no"))
     return picked.withColumn("used", used).where(F.col("used") - F.octet_length("value") - 1 < most_bytes).drop("used")
@@ -129,12 +128,7 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def jsonl_zst(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The same of files compressed with Zstandard, which are read as a stream: a task holds a compressed file and a megabyte of its text."""
-    import io
-
-    import pyarrow as pa
-    import zstandard
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True), "utf-8", newline="\n")

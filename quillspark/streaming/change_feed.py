@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import changes
-from ..operators.store import Store, build, upserted, without
+from ..operators.store import Store, build
 from ..sources import files as S
 
 LIMIT = 20 << 20
