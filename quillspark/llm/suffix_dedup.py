@@ -143,7 +143,8 @@ class Unit:
         none = np.zeros(0, np.int64)
         runs = self.shard_runs(np.flatnonzero((repeated & ~hot)[self.place]) if len(self.place) else none)
         single = self.single_windows(np.flatnonzero(hot[self.place]) if len(self.place) else none)
-        value, doc, begin, n = (np.concatenate(x) for x in zip(runs, single, strict=True))
+        self.singles = len(single[0])
+        value, doc, begin, n = (np.concatenate(x) for x in zip(runs, single, strict=True)) if self.singles else runs
         data, table = self.flat.tobytes(), {}
         end = begin + n + self.plan.length - 1
         of = np.fromiter((table.setdefault(data[a:b], len(table)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
@@ -172,11 +173,12 @@ class Unit:
         """Of windows in the given runs, joined where they touch: runs of windows with one short minimizer (and one salt). Their keys,
         documents, first bytes and numbers of windows."""
         begin, n, doc = self.start[runs], self.count[runs], self.doc[runs]
-        salt = mix(self.value[runs] + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.plan.salts)
         apart = np.concatenate(([True], (begin[1:] != begin[:-1] + n[:-1]) | (doc[1:] != doc[:-1]))) if len(runs) else np.zeros(0, bool)
         first = np.flatnonzero(apart)
         total = np.add.reduceat(n, first) if len(first) else first
-        salts, salt_at = np.repeat(salt, n), np.concatenate(([0], np.cumsum(total)))
+        if self.plan.salts > 1:
+            salts = np.repeat(mix(self.value[runs] + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.plan.salts), n)
+            salt_at = np.concatenate(([0], np.cumsum(total)))
         begin, doc = begin[first], doc[first]
         out: list[list[np.ndarray]] = [[], [], [], []]
         size = total + self.plan.length - 1
@@ -188,7 +190,9 @@ class Unit:
             low = window_minimizers(self.flat[place], self.plan.length, short=True)
             stretch = np.repeat(np.arange(stop - k), own)[: len(low)]
             where = np.flatnonzero(np.arange(len(low)) + self.plan.length <= at[1:][stretch])
-            low, stretch = mix(low[where] + salts[salt_at[k] : salt_at[stop]]), stretch[where]
+            low, stretch = low[where], stretch[where]
+            if self.plan.salts > 1:
+                low = mix(low + salts[salt_at[k] : salt_at[stop]])
             head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (stretch[1:] != stretch[:-1]))))
             for x, y in zip(out, (low[head], doc[k:stop][stretch[head]], place[where[head]], np.diff(np.append(head, len(low)))), strict=True):
                 x.append(y)
@@ -203,8 +207,10 @@ class Unit:
         doc = np.repeat(self.at_doc, self.n)
         hit = np.flatnonzero(owner[np.repeat(first[self.of], self.n) + inside] < self.ids[doc])
         start = (np.repeat(self.begin, self.n) + inside)[hit]
-        order = np.argsort(start, kind="stable")
-        start, doc = start[order], doc[hit][order]
+        doc = doc[hit]
+        if self.singles:  # which come after all others
+            order = np.argsort(start, kind="stable")
+            start, doc = start[order], doc[order]
         if not len(start):
             return doc, start, start
         cut_at = np.flatnonzero((start[1:] > start[:-1] + self.plan.length) | (doc[1:] != doc[:-1]))
