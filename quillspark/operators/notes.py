@@ -103,15 +103,15 @@ def day_indexes(blocks: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """wanted (day, name, source) with `unique_name`: the name, with a hash of the source if it is taken or asked for twice, and with a number
-    if that is, too."""
+    """wanted (day, name, source) with `suffixed`: the name, with a hash of the source if it is taken or asked for twice; and with `unique_name`:
+    that, with a number if it is taken or asked for twice, too (hashes have 32 bits, so among many sources of one name some are equal)."""
     used = taken.select("day", "name", F.lit(True).alias("used")).distinct()
     order = Window.partitionBy("day", "name").orderBy("source")
     first = wanted.join(used, ["day", "name"], "left").withColumn("nth", F.row_number().over(order))
     second = F.when(F.col("used").isNull() & (F.col("nth") == 1), F.col("name")).otherwise(F.concat("name", F.lit("--"), X.short_hash("source")))
     tried = first.withColumn("tried", second)
     clash = tried.join(used.select("day", F.col("name").alias("tried"), F.col("used").alias("again")), ["day", "tried"], "left").withColumn("copy", F.row_number().over(Window.partitionBy("day", "tried").orderBy("source")) + F.when(F.col("again"), 1).otherwise(0))
-    return clash.withColumn("unique_name", F.when(F.col("copy") > 1, F.concat("tried", F.lit("-"), F.col("copy").cast("string"))).otherwise(F.col("tried"))).select(*wanted.columns, "unique_name")
+    return clash.withColumn("unique_name", F.when(F.col("copy") > 1, F.concat("tried", F.lit("-"), F.col("copy").cast("string"))).otherwise(F.col("tried"))).select(*wanted.columns, F.col("tried").alias("suffixed"), "unique_name")
 
 
 def validated_links(notes: DataFrame, files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

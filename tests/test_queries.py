@@ -4,10 +4,11 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 import __spark_entry__
-from quillspark.operators import chunkers
+from quillspark.operators import chunkers, notes
 from quillspark.plans import row_queries  # noqa: F401  registers more
 from quillspark.plans.queries import ORACLES, QUERIES
 
@@ -61,6 +62,17 @@ def test_hashed_embeddings(spark):
     assert len({tuple(v) for v in got.values()}) == len(set(texts.values()))
 
 
+def test_names_whose_hashes_are_equal(spark, tmp_path):
+    """The sources s52997 and s245987 have one name, and hashes with the same 8 digits: the query is as its SQL, and the operator's names differ."""
+    spark.createDataFrame([(i, "t") for i in (7, 77, 52997, 245987)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert difference(spark, con, "unique_names", QUERIES["unique_names"], ORACLES["unique_names"], str(tmp_path)) == ""
+    wanted = spark.createDataFrame([("7", "n7", "s52997"), ("7", "n7", "s245987")], "day string, name string, source string")
+    got = {r["source"]: (r["suffixed"], r["unique_name"]) for r in notes.unique_names(wanted, wanted.select("day", "name")).collect()}
+    assert got["s52997"][0] == got["s245987"][0] and got["s52997"][1] == got["s245987"][1] + "-2"
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
