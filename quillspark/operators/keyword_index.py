@@ -1,9 +1,13 @@
 """A keyword index on disk: postings by token, changed in place of being rebuilt.
 
-The base has the postings of all documents in buckets by token, sorted by token within files, and every document's length; a change has those
-of new documents, and the ids whose older postings it takes away. A state has the corpus statistics beside it, so a query opens its terms'
-buckets and one row, and no text. Buckets grow with the index; a bucket's rows are written by as many tasks as they ask for, so a common
-token isn't one task. The base names its tokenizer: an index that another one has made is rebuilt.
+The base has the postings of all documents in buckets by token, and a change those of new documents; each has the documents whose older
+postings it takes away. Each task that reads texts writes its own files, sorted by token: nothing is shuffled and nothing is kept beside the
+index, so its disk is the index and what its changes hold. A state has the corpus statistics beside it, so a query opens its terms' buckets
+and one row, and no text; within files it reads the pages that hold its terms. The base names its tokenizer: an index that another one has
+made is rebuilt.
+
+Documents have numbers (place) within their folder, dense in each task's run. What is gone is a bit for each place, 64 to a row, so
+compaction and queries join postings with a small table, however many documents go.
 """
 
 from __future__ import annotations
@@ -13,29 +17,34 @@ import uuid
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from . import bm25
-from .lineage import kept
 from .versions import MOST_CHANGES, Versions
 
-#: Postings of a bucket and of a file, in expectation.
-BUCKET_ROWS, FILE_ROWS = 1 << 22, 1 << 22
-POSTINGS = "doc_id {0}, token string, tf int, dl int, bucket int"
-STATE = "fingerprint string, buckets int, n_docs long, total_len long"
+#: Postings of a bucket, as long as buckets are MOST_BUCKETS at most (each task writes a file to each), and of a task at least, in expectation.
+BUCKET_ROWS, MOST_BUCKETS, FILE_ROWS = 1 << 22, 64, 1 << 18
+#: Characters of a posting, about; for the two above only.
+CHARACTERS = 8
+#: Bucket of the documents' own rows: token is empty, dl the document's length.
+DOCS = -1
+POSTINGS = "doc_id {0}, place long, token string, tf int, dl int, bucket int"
+GONE = "folder string, word long, bits long, n long, len long"
+STATE = "fingerprint string, buckets int, n_docs long, total_len long, places long"
 
 
 class KeywordIndex(Versions):
     def __init__(self, spark: SparkSession, path: str, stopwords: Iterable[str] = (), id_type: str = "string"):
         super().__init__(spark, path)
         self.stopwords, self.id_type = sorted(set(stopwords)), id_type
-        self.fingerprint = hashlib.sha256("\0".join(["words of 2 and more, single Han", *self.stopwords]).encode()).hexdigest()[:16]
+        self.fingerprint = hashlib.sha256("\0".join(["words of 2 and more, single Han; places", *self.stopwords]).encode()).hexdigest()[:16]
 
     def state(self) -> tuple[str, int, int, int] | None:
         """fingerprint, buckets, n_docs, total_len of what readers see."""
         folders = self.folders()
-        return tuple(self.spark.read.schema(STATE).parquet(f"{self.path}/{folders[-1]}/state").first()) if folders else None
+        return tuple(self.spark.read.schema(STATE).parquet(f"{self.path}/{folders[-1]}/state").first())[:4] if folders else None
 
     def fits(self) -> bool:
         """Whether the index is there, and made by this tokenizer."""
@@ -43,55 +52,75 @@ class KeywordIndex(Versions):
         return state is not None and state[0] == self.fingerprint
 
     def postings_of(self, docs: DataFrame, id: str, text: str) -> DataFrame:
-        return bm25.postings(docs.select(F.col(id).cast(self.id_type).alias("doc_id"), F.col(text).alias("text")), stopwords=self.stopwords)
-
-    def _save(self, postings: DataFrame, gone: DataFrame | None, buckets: int | None, before: tuple[int, int] = (0, 0)) -> str:
-        """Writes a base or a change, and names its folder. before: documents and their length that stay from earlier."""
-        folder = f"{self.path}/{(name := uuid.uuid4().hex)}"
-        postings = kept(postings)
-        rows = postings.count()
-        buckets = buckets or max(1, -(-rows // BUCKET_ROWS))
-        dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        sizes = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("files"))
-        dealt = dealt.join(F.broadcast(sizes), "bucket").withColumn("file", F.pmod(F.xxhash64("doc_id"), F.col("files")))
+        """doc_id, place, token, tf, dl, and a row for each document, of an empty token. Documents without a token have no row."""
+        n = docs.agg(F.sum(F.length(text))).first()[0] or 0
+        some = docs.select(F.col(id).cast(self.id_type).alias("doc_id"), F.col(text).alias("text")).coalesce(max(1, -(-n // (CHARACTERS * FILE_ROWS))))
+        own = some.select("doc_id", F.sort_array(X.tokens("text", self.stopwords)).alias("tokens")).withColumn("dl", F.size("tokens"))
+        # where runs of equal tokens start, and the end; each step has its own projection, so none is computed for each token anew
+        runs = own.withColumn("place", F.monotonically_increasing_id()).where("dl > 0")  # a filter on dl alone would be pushed below and tokenize once more
+        runs = runs.withColumn("starts", F.array_compact(F.transform("tokens", lambda t, i: F.when((i == 0) | (t != F.get("tokens", i - 1)), i))))
+        runs = runs.withColumn("ends", F.concat("starts", F.array("dl"))).withColumn("starts", F.concat(F.array(F.lit(-1)), "starts"))
+        each = runs.select("doc_id", "place", "dl", "tokens", F.inline(F.arrays_zip("starts", "ends")))
+        return each.select("doc_id", "place", F.when(F.col("starts") < 0, "").otherwise(F.get("tokens", F.col("starts"))).alias("token"), F.when(F.col("starts") < 0, 0).otherwise(F.col("ends") - F.col("starts")).alias("tf"), "dl")
+
+    def _save(self, name: str, postings: DataFrame, buckets: int, before: tuple[int, int] = (0, 0)) -> str:
+        """Writes a base or a change. before: documents and their length that stay from earlier."""
+        folder = f"{self.path}/{name}"
         columns = [c.split()[0] for c in POSTINGS.split(", ")]
-        dealt.repartition("bucket", "file").sortWithinPartitions("bucket", "token").select(*columns).write.partitionBy("bucket").parquet(f"{folder}/postings")
-        docs = postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-        docs.write.parquet(f"{folder}/docs")
-        if gone is not None:
-            gone.write.parquet(f"{folder}/gone")
-        n, total = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        self.spark.createDataFrame([(self.fingerprint, buckets, before[0] + n, before[1] + total)], STATE).coalesce(1).write.parquet(f"{folder}/state")
+        dealt = postings.withColumn("bucket", F.when(F.col("token") == "", DOCS).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets))).cast("int"))
+        # the ids' and places' dictionaries have a task's documents
+        out = dealt.sortWithinPartitions("bucket", "token", "place").select(*columns).write.option("compression", "zstd").option("parquet.dictionary.page.size", 1 << 23)
+        out.partitionBy("bucket").parquet(f"{folder}/postings")
+        own = self._load(name).where(F.col("bucket") == DOCS)
+        n, total, places = own.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.max("place"), F.lit(-1)) + 1).first()
+        self.spark.createDataFrame([(self.fingerprint, buckets, before[0] + n, before[1] + total, places)], STATE).coalesce(1).write.parquet(f"{folder}/state")
         return name
 
+    @staticmethod
+    def _buckets(rows: int) -> int:
+        return max(1, min(MOST_BUCKETS, -(-rows // BUCKET_ROWS)))
+
     def build(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> str:
         """A new base from all documents."""
-        return self.point_to([self._save(self.postings_of(docs, id, text), None, None)])
+        n = docs.agg(F.sum(F.length(text))).first()[0] or 0
+        return self.point_to([self._save(uuid.uuid4().hex, self.postings_of(docs, id, text), self._buckets(n // CHARACTERS))])
+
+    def _load(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(POSTINGS.format(self.id_type)).parquet(f"{self.path}/{folder}/postings")
 
-    def _rows(self, name: str, schema: str) -> DataFrame:
-        """All folders' rows that no later change has taken away."""
+    def _rows(self, where: Column | None = None) -> DataFrame:
+        """All folders' rows that no later change has taken away, with their folder; where: only those."""
         folders = self.folders()
-        load = lambda f, what, kind: self.spark.read.schema(kind).parquet(f"{self.path}/{f}/{what}")
-        rows = reduce(DataFrame.unionByName, [load(f, name, schema).withColumn("at", F.lit(k)) for k, f in enumerate(folders)])
+        each = [self._load(f).where(F.lit(True) if where is None else where) for f in folders]
+        rows = reduce(DataFrame.unionByName, [r.withColumn("folder", F.lit(f)) for f, r in zip(folders, each, strict=True)])
         if len(folders) == 1:
-            return rows.drop("at")
-        gone = reduce(DataFrame.unionByName, [load(f, "gone", f"gone_id {self.id_type}").withColumn("gone_at", F.lit(k)) for k, f in enumerate(folders) if k])
-        gone = gone.groupBy("gone_id").agg(F.max("gone_at").alias("gone_at"))
-        return rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("gone_at") > F.col("at")), "left_anti").drop("at")
+            return rows
+        gone = reduce(DataFrame.unionByName, [self.spark.read.schema(GONE).parquet(f"{self.path}/{f}/gone") for f in folders[1:]])
+        # a row stands for 64 places
+        bits = gone.groupBy("folder", "word").agg(F.bit_or("bits").alias("bits"))
+        bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+        marked = rows.withColumn("word", F.expr("shiftright(place, 6)")).join(F.broadcast(bits), ["folder", "word"], "left")
+        return marked.where(F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(bit) == 0).drop("word", "bits")
+
+    def _documents(self) -> DataFrame:
+        return self._rows(F.col("bucket") == DOCS)
 
     def documents(self) -> DataFrame:
         """doc_id and dl of the documents that have a token."""
-        return self._rows("docs", f"doc_id {self.id_type}, dl int")
+        return self._documents().select("doc_id", "dl")
 
     def change(self, gone: DataFrame, docs: DataFrame | None = None, id: str = "doc_id", text: str = "text") -> str:
         """Takes away documents (gone: doc_id), and adds new ones."""
         if len(self.folders()) > MOST_CHANGES:
             self.compact()
-        ids = kept(gone.select(F.col("doc_id").cast(self.id_type).alias("gone_id")).distinct())
-        lost = self.documents().join(ids, F.col("doc_id") == F.col("gone_id"), "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        name = uuid.uuid4().hex
+        lost = self._documents().join(gone.select(F.col("doc_id").cast(self.id_type).alias("doc_id")), "doc_id", "left_semi")
+        words = lost.groupBy("folder", F.expr("shiftright(place, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits"), F.count("*").alias("n"), F.sum("dl").alias("len"))
+        words.write.parquet(f"{self.path}/{name}/gone")
+        n_lost, len_lost = self.spark.read.schema(GONE).parquet(f"{self.path}/{name}/gone").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("len"), F.lit(0))).first()
         _, buckets, n, total = self.state()
         new = self.postings_of(docs, id, text) if docs is not None else self.spark.createDataFrame([], POSTINGS.format(self.id_type)).drop("bucket")
-        return self.point_to([*self.folders(), self._save(new, ids, buckets, (n - lost[0], total - lost[1]))])
+        return self.point_to([*self.folders(), self._save(name, new, buckets, (n - n_lost, total - len_lost))])
 
     def upsert(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> str:
         if not self.fits():
@@ -102,8 +131,18 @@ class KeywordIndex(Versions):
         return self.change(ids)
 
     def compact(self) -> str:
-        """One base without what was deleted; its buckets follow its size."""
-        return self.point_to([self._save(self._rows("postings", POSTINGS.format(self.id_type)).drop("bucket"), None, None)])
+        """One base without what was deleted; its buckets follow its size. The folders' places follow one another."""
+        folders = self.folders()
+        states = [self.spark.read.schema(STATE).parquet(f"{self.path}/{f}/state").first() for f in folders]
+        starts, rows = [], 0
+        for state in states:
+            starts.append(starts[-1] + -(-last // 64) * 64 if starts else 0)
+            last = state["places"]
+        for f in folders:
+            rows += self._load(f).count()
+        start = F.element_at(F.create_map(*[F.lit(x) for f, k in zip(folders, starts, strict=True) for x in (f, k)]), F.col("folder"))
+        moved = self._rows().withColumn("place", F.col("place") + start.cast("long")).drop("folder", "bucket")
+        return self.point_to([self._save(uuid.uuid4().hex, moved, self._buckets(rows))])
 
     def optimize(self, docs: DataFrame, id: str = "doc_id", text: str = "text") -> str:
         """The upkeep job: rebuilds what another tokenizer has made, else compacts."""
@@ -114,7 +153,8 @@ class KeywordIndex(Versions):
         terms = bm25.query_terms(query, self.stopwords)
         _, buckets, n, total = self.state()
         wanted = [r["b"] for r in self.spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()] if terms else []
-        hits = self._rows("postings", POSTINGS.format(self.id_type)).where(F.col("bucket").isin(wanted) & F.col("token").isin(terms) if terms else F.lit(False))
+        hits = self._rows(F.col("bucket").isin(wanted) & F.col("token").isin(terms) if terms else F.lit(False))
+        hits = hits.repartition("doc_id").groupBy("doc_id", "token", "dl").agg(F.sum("tf").alias("tf"))  # of rows of one id
         stats = self.spark.createDataFrame([(n, total / n if n else 0.0)], "n_docs long, avg_len double")
         return bm25.score_index(hits, stats, terms, k1, b)
 

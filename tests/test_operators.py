@@ -141,6 +141,28 @@ def test_a_kept_index(spark, corpus, tmp_path, monkeypatch):
     assert other.fits() and other.search("apple", 5).collect() == [] and len(other.search("cream", 5).collect()) > 0
 
 
+def test_a_kept_index_shuffles_no_postings(spark, tmp_path):
+    """Nor does compaction, over words of 64 places that are gone in part."""
+    docs = spark.createDataFrame([(i, f"apple {'pear ' * (i % 3)} w{i}") for i in range(300)] + [(300, ""), (301, None)], "doc_id long, text string").repartition(3, "doc_id")
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "i"), id_type="long")
+    plan = index.postings_of(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index.build(docs)
+    index.delete(docs.where("doc_id % 3 = 0").select("doc_id"))
+    new = docs.where("doc_id % 3 = 1").select("doc_id", F.concat("text", F.lit(" plum")).alias("text"))
+    index.upsert(new)
+    index.upsert(new.where("doc_id < 40"))
+    now = docs.where("doc_id % 3 = 2").unionByName(new)
+    want = {r["doc_id"]: round(r["score"], 9) for r in bm25.score_texts(now, "pear plum").where("score > 0").collect()}
+    got = lambda: {r["doc_id"]: round(r["score"], 9) for r in index.scores("pear plum").collect()}
+    assert got() == want and len(want) == 200
+    moved = index._rows()._jdf.queryExecution().executedPlan().toString()
+    assert "left_outer" in moved.lower() or "leftouter" in moved.lower()
+    assert "SortMergeJoin" not in moved and "ShuffledHashJoin" not in moved
+    index.compact()
+    assert got() == want and index.documents().count() == 200 and len(index.folders()) == 1
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([("shared", 0.9, 1), ("v2", 0.8, 2)], "id string, score double, rank int")
     k = spark.createDataFrame([("k1", 9.0, 1), ("shared", 8.0, 2)], "id string, score double, rank int")
