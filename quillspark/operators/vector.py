@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 from .lineage import kept
@@ -29,17 +32,67 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, *ties: str, embedding
     return cosines(rows, query, embedding).drop(embedding).orderBy(F.desc("score"), *ties).limit(max(0, k))
 
 
-#: Queries that travel to the rows at once.
-ASKED = 4096
+#: Queries that travel to the rows at once, and pairs of a task, in expectation.
+ASKED, PAIRS = 4096, 1 << 21
+
+
+def by_size(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """Places of vectors of one size, the vectors as rows, and their lengths; None for those that are null or hold nulls."""
+    size = np.array([len(v.values) if v.is_valid and not v.values.null_count else -1 for v in column], np.int64)
+    for n in np.unique(size).tolist():
+        own = np.flatnonzero(size == n)
+        if n < 0:
+            yield own, None, None
+        else:
+            x = column.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), n)
+            yield own, x, np.sqrt((x * x).sum(1))
 
 
 def cosine_pairs(rows: DataFrame, queries: DataFrame, id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """query_id, id, score of a stated set of queries (id, embedding) with all rows, in blocks of about ASKED queries."""
-    asked = queries.select(F.col(id).alias("query_id"), F.col(embedding).alias("query"))
-    blocks = -(-queries.count() // ASKED)
-    own = [asked] if blocks <= 1 else [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks)]
-    pairs = [rows.join(F.broadcast(block)).select("query_id", id, V.cosine(embedding, "query").alias("score")) for block in own]
-    return reduce(DataFrame.unionByName, pairs)
+    """query_id, id, score of a stated set of queries (id, embedding) with all rows, as V.cosine has it: 0 where either is zero, null where
+    sizes differ. Blocks of about ASKED queries travel to the rows, which are dealt out to tasks by the number of pairs; a task multiplies
+    matrices and holds one block and a batch of rows."""
+    session = rows.sparkSession
+    asked = queries.select(id, embedding)
+    blocks = max(1, -(-queries.count() // ASKED))
+    own = [asked] if blocks == 1 else [asked.where(F.pmod(F.xxhash64(id, embedding), F.lit(blocks)) == k) for k in range(blocks)]
+    tasks = max(1, min(10_000, -(-rows.count() * ASKED // PAIRS)))
+    dealt = rows.select(id, embedding).repartition(tasks)
+    kind = rows.schema[id].dataType
+
+    def against(block: DataFrame) -> DataFrame:
+        table = block.toArrow().combine_chunks()
+        sent = session.sparkContext.broadcast((_flat(table.column(0)), list(by_size(_flat(table.column(1))))))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            query_ids, groups = sent.value
+            for batch in batches:
+                ids = batch.column(0)
+                mine = list(by_size(batch.column(1)))
+                for at, x, size in groups:
+                    for places, y, sizes in mine:
+                        step = max(1, (1 << 18) // len(places))
+                        for k in range(0, len(at), step):
+                            part = at[k : k + step]
+                            score = None
+                            if x is not None and y is not None and x.shape[1] == y.shape[1]:
+                                with np.errstate(all="ignore"):
+                                    both = size[k : k + step, None] * sizes
+                                    score = np.where(both == 0, 0.0, (x[k : k + step] @ y.T) / both).ravel()
+                            n = len(part) * len(places)
+                            yield pa.RecordBatch.from_arrays([
+                                query_ids.take(pa.array(np.repeat(part, len(places)))),
+                                ids.take(pa.array(np.tile(places, len(part)))),
+                                pa.nulls(n, pa.float64()) if score is None else pa.array(score),
+                            ], names=["query_id", id, "score"])
+
+        return dealt.mapInArrow(compare, StructType([StructField("query_id", kind), StructField(id, kind), StructField("score", DoubleType())]))
+
+    return reduce(DataFrame.unionByName, [against(block) for block in own])
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def missing_vectors(chunks: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:

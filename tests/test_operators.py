@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import vectors as V
 from quillspark.operators import ann, bm25, changes, evaluation, filters, fusion, graph, intervals, keyword_index, messages, notes, ranking, topics, vector
 from quillspark.plans import llm_columns, queries, search
 
@@ -141,6 +142,21 @@ def test_a_kept_index(spark, corpus, tmp_path, monkeypatch):
     assert other.fits() and other.search("apple", 5).collect() == [] and len(other.search("cream", 5).collect()) > 0
 
 
+def test_cosine_pairs_in_blocks_over_tasks(spark, monkeypatch):
+    """Values and nulls are those of the column function, over several blocks of queries; a small table in one file is dealt out to tasks."""
+    monkeypatch.setattr(vector, "ASKED", 3)
+    monkeypatch.setattr(vector, "PAIRS", 8)
+    odd = [[0.0, 0.0, 0.0], [], None, [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 0.0]]
+    some = odd + [x.tolist() for x in np.random.default_rng(3).normal(size=(12, 3))]
+    df = spark.createDataFrame([(f"v{i}", x) for i, x in enumerate(some)] + [(None, [1.0, 2.0, 3.0]), ("v1", [3.0, 2.0, 1.0])], "name string, e array<float>").coalesce(1)
+    got = vector.cosine_pairs(df, df, "name", "e")
+    assert got.rdd.getNumPartitions() > 8
+    want = df.select(F.col("name").alias("query_id"), F.col("e").alias("q")).join(df).select("query_id", "name", V.cosine("e", "q").alias("score"))
+    shown = lambda x: sorted((str(r["query_id"]), str(r["name"]), str(r["score"] if r["score"] is None else round(r["score"], 9) + 0.0)) for r in x.collect())
+    assert shown(got) == shown(want) and len(shown(got)) == 441 and got.dtypes == want.dtypes
+    assert vector.cosine_pairs(df, df.where("false"), "name", "e").collect() == []
+
+
 def test_a_kept_index_shuffles_no_postings(spark, tmp_path):
     """Nor does compaction, over words of 64 places that are gone in part."""
     docs = spark.createDataFrame([(i, f"apple {'pear ' * (i % 3)} w{i}") for i in range(300)] + [(300, ""), (301, None)], "doc_id long, text string").repartition(3, "doc_id")
