@@ -7,8 +7,8 @@ enlarged up to LONG while all it holds are links. A node whose list is saturated
 compared with all nodes of its label exactly, in pairs of chunks that give counts and joining links, not pairs. Lists
 hold the best neighbours whatever their cosine, as descent walks over weak edges too. Trees and rounds grow with a label's size. Recall is
 audited in each label by itself, as the mean over nodes that have links, on AUDIT nodes against all rows; a label under TARGET gets another
-forest and is refined again. What is under TARGET after FORESTS of them, has fewer than EVIDENCE audited nodes with links, or has at most
-SMALL nodes, is compared whole, as full nodes are.
+forest and is refined again, unless it has fewer than EVIDENCE audited nodes with links or had FORESTS of them. An exact check of all nodes
+follows in labels of every size, so results don't depend on SMALL, up to which a label has no descent; it is quadratic in a label.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and those with a null label or a null id
 link with nothing; their component is themselves. Repeated rows count as different vectors; an id with several different vectors links
@@ -349,7 +349,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, report: Callabl
     nodes = cut(rows.where("v IS NOT NULL").groupBy("label", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
     sizes = {(r["label"], r["dim"]): r["n"] for r in nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).collect()}
     near, full = vectors.sparkSession.createDataFrame([], EDGES), vectors.sparkSession.createDataFrame([], "node long")
-    whole: set[tuple[int, int]] = set()  # labels to compare whole, besides the small ones
     if sizes:
         truth = audited(nodes, sizes, threshold)
         rounds = ROUNDS + doublings(max(sizes.values()))
@@ -368,9 +367,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, report: Callabl
                 report(sum(x[2] for x in got.values()), sum(x[3] for x in got.values()))
             if not pending:
                 break
-        whole |= set(pending)
-    asked = nodes if not sizes else nodes.join(nodes.sparkSession.createDataFrame(sorted(set(sizes) - whole) or [(None, None)], "label int, dim int"), ["label", "dim"], "left_anti")
-    asked = cut(asked.select("node").unionByName(full).distinct())
+    asked = cut(nodes.select("node"))  # an exact check of every label follows, so that results are the same on both sides of SMALL
     exact = cut(exact_links(asked, nodes, threshold))
     found = near.select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots_ = components(found.unionByName(exact.where("root IS NOT NULL").select(F.col("node").alias("u"), F.col("root").alias("v"))))

@@ -143,3 +143,19 @@ def test_graph_of_labels_over_several_tasks(spark, monkeypatch, sample):
     want = {d: n for d, n, _ in brute(rows)}
     assert all(got[d] <= n for d, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values())
     assert len(counts) <= ed.FORESTS
+
+
+def test_results_are_the_same_on_both_sides_of_the_switch(spark, monkeypatch):
+    """A descent that misses links, and whose recall is called good enough, leaves none out of the result."""
+    for name, value in (("TREES", 1), ("LEAF", 12), ("ROUNDS", 0), ("FORESTS", 1), ("EVIDENCE", 0), ("TARGET", 0.0)):
+        monkeypatch.setattr(ed, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 24))
+    x[300:400] = x[:100] + rng.normal(size=(100, 24)) * 0.25
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    counts = []
+    got = []
+    for small in (0, 4096):
+        monkeypatch.setattr(ed, "SMALL", small)
+        got.append(sorted(tuple(r) for r in ed.near_duplicates(df, report=lambda true, found: counts.append((true, found))).collect()))
+    assert got[0] == got[1] and counts[0][1] < counts[0][0]
