@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
 from quillspark.functions import vectors as V
 from quillspark.operators import ann, bm25, changes, evaluation, filters, fusion, graph, intervals, keyword_index, messages, notes, ranking, topics, vector
 from quillspark.plans import llm_columns, queries, search
@@ -179,6 +180,34 @@ def test_a_kept_index_shuffles_no_postings(spark, tmp_path):
     assert got() == want and index.documents().count() == 200 and len(index.folders()) == 1
 
 
+def test_a_kept_index_is_smaller_than_its_texts(spark, tmp_path, monkeypatch):
+    """A posting has its place alone; and a split of more postings than a task should sort becomes several tasks, at the build, a change and compaction."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(1).cache()
+    docs.write.parquet(str(tmp_path / "texts"))
+    size = lambda path: sum(p.stat().st_size for p in path.rglob("*.parquet"))
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "i"), id_type="long")
+    index.build(docs)
+    assert size(tmp_path / "i") < 0.6 * size(tmp_path / "texts")
+    monkeypatch.setattr(keyword_index, "FILE_ROWS", 1 << 10)
+    monkeypatch.setattr(keyword_index, "TASK_ROWS", 1 << 14)
+    monkeypatch.setattr(keyword_index, "BUCKET_ROWS", 1 << 14)
+    for dealt in (docs, docs.coalesce(1), docs.repartition(2, "doc_id"), spark.read.parquet(str(tmp_path / "texts"))):
+        per_task = [r["count"] for r in index.postings_of(dealt, "doc_id", "text").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) > 4 and max(per_task) < sum(per_task) / 3
+    index.build(docs)
+    assert index.documents().count() == docs.where(F.size(X.tokens("text")) > 0).count()
+    index.delete(docs.where("doc_id % 3 = 0").select("doc_id"))
+    new = docs.where("doc_id % 3 = 1").select("doc_id", F.concat("text", F.lit(" that that")).alias("text"))
+    index.upsert(new)
+    want = {r["doc_id"]: round(r["score"], 9) for r in bm25.score_texts(docs.where("doc_id % 3 = 2").unionByName(new), "the that").where("score > 0").collect()}
+    got = lambda: {r["doc_id"]: round(r["score"], 9) for r in index.scores("the that").collect()}
+    assert got() == want and len(want) > 100
+    monkeypatch.setattr(keyword_index, "TASK_ROWS", 1 << 10)
+    index.compact()
+    assert got() == want and len(index.folders()) == 1
+    docs.unpersist()
+
+
 def test_fusion(spark):
     v = spark.createDataFrame([("shared", 0.9, 1), ("v2", 0.8, 2)], "id string, score double, rank int")
     k = spark.createDataFrame([("k1", 9.0, 1), ("shared", 8.0, 2)], "id string, score double, rank int")
